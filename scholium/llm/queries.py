@@ -4,13 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import bpe
+from scholium.llm import bpe, language, split, unicode_forms
 from scholium.session import read_table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(*(read_table(spark, d, t) for t in ("documents", "chunks", "pages")))
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    rows = language.identify(*(read_table(spark, d, t) for t in ("documents", "chunks", "pages")))
+    return rows.select("rec_table", "rec_key", "part_no", "lang", "confidence").distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split.split_items(split.oversized(read_table(spark, d, "chunks")), ["chunk_id"], "text")
+    return pieces.where("piece_no > 0").select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_chunks(read_table(spark, d, "chunks"), read_table(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return unicode_forms.found(read_table(spark, d, "chunks"), read_table(spark, d, "pages"))
+
+
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return unicode_forms.canonical(read_table(spark, d, "chunks"), read_table(spark, d, "pages"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_languages": p3_languages,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_canonical": p6_canonical,
+    "p7_ids": p7_ids,
+}
+SQL = {
+    "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > 1500",
+}
