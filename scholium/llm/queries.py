@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import bpe, language, split, unicode_forms
+from scholium.llm import bpe, language, neardup, readability, split, unicode_forms
 from scholium.session import read_table
 
 
@@ -26,6 +26,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chunks(read_table(spark, d, "chunks"), read_table(spark, d, "documents"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(read_table(spark, d, "chunks"), read_table(spark, d, "documents"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_groups(read_table(spark, d, "chunks"), read_table(spark, d, "documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unicode_forms.found(read_table(spark, d, "chunks"), read_table(spark, d, "pages"))
 
@@ -38,14 +46,27 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return readability.found(read_table(spark, d, "documents"), read_table(spark, d, "graded_passages"))
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    bands = readability.reading_bands(read_table(spark, d, "documents"), read_table(spark, d, "graded_passages"))
+    return bands.distinct().groupBy("lang", "band").count().withColumnRenamed("count", "n_documents")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
 }
 SQL = {
     "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > 1500",
