@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import bpe, language, neardup, readability, split, unicode_forms
+from scholium.llm import bpe, language, neardup, ocr, readability, split, unicode_forms
 from scholium.session import read_table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(read_table(spark, d, "pages"), read_table(spark, d, "books"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(read_table(spark, d, "pages"), read_table(spark, d, "books"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(*(read_table(spark, d, t) for t in ("documents", "chunks", "pages")))
 
@@ -56,6 +64,8 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p4_found": p4_found,
