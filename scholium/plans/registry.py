@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholium.plans import data_quality
+from scholium.plans import data_quality, retrieval
 
-_MODULES = [data_quality]
+_MODULES = [retrieval, data_quality]
 
 
 def queries() -> dict:
