@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
+from scholium.session import durable
 
 K1, B = 1.2, 0.75
 # Weights of the indexed fields.
@@ -23,31 +24,36 @@ def _count_of(tokens: Column, terms: list[str], weight: float) -> Column:
     return F.transform(F.filter(tokens, lambda t: t.isin(terms)), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
 
 
-def bm25(units: DataFrame, key: str, fields: dict[str, Column], terms: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """``key, score`` of every unit with one of ``terms`` (distinct).
+def bm25(units: DataFrame, key: str, fields: dict[str, Column], questions: dict[str, list[str]], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """``question_id, key, score`` of every unit with one of a question's terms.
 
     A term's frequency is the weighted sum over the fields, a unit's length the
-    tokens of all fields.  Only postings of the wanted terms are shuffled; the
-    document frequencies (one row per term) and the totals (one row) are
-    bounded by the query and broadcast.  Null fields are empty.
+    tokens of all fields.  All questions are answered in one pass; only
+    postings of wanted terms are shuffled.  The document frequencies (one row
+    per term), the questions' terms and the totals (one row) are bounded by the
+    questions and broadcast.  Null fields are empty.
     """
-    terms = list(dict.fromkeys(terms))
+    asked = [(q, t) for q, terms in questions.items() for t in dict.fromkeys(terms)]
+    terms = sorted({t for _, t in asked})
     size = sum((F.size(f) for f in fields.values()), F.lit(0))
     hits = F.concat(*[_count_of(f, terms, weights[n]) for n, f in fields.items()])
-    base = units.select(key, size.alias("len"), hits.alias("hits"))
+    base = durable(units.select(key, size.alias("len"), hits.alias("hits")))  # read three times; the texts only once
     total = base.agg(F.count(F.lit(1)).alias("n_units"), F.avg("len").alias("mean_len"))
     tf = base.where(F.size("hits") > 0).select(key, "len", F.explode("hits").alias("h")).groupBy(key, "len", F.col("h.token").alias("token")).agg(F.sum("h.w").alias("f"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    of = units.sparkSession.createDataFrame(asked, "question_id string, token string")
     joined = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(total))
     idf = F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    return joined.groupBy(key).agg(F.sum(part).alias("score"))
+    return joined.select(key, "token", part.alias("part")).join(F.broadcast(of), "token").groupBy("question_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def ranked(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:
-    """The ``k`` best with their rank from 1; ties by key."""
-    top = scored.orderBy(F.desc(score), key).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+def ranked(scored: DataFrame, key: str, k: int, score: str = "score", group: list[str] | None = None, then: list[str] | None = None) -> DataFrame:
+    """The ``k`` best of each group with their rank from 1; ties by ``then`` (falling), last by key."""
+    order = [F.desc(score), *map(F.desc, then or []), key]
+    if not group:
+        return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def matches_groups(tokens: Column, groups: list[list[str]]) -> Column:
@@ -64,14 +70,18 @@ def has_phrase(tokens: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {wanted} ")
 
 
-def rescored(hits: DataFrame, question: str, title: Column, text: Column, relevance: Column, aliases: list[str]) -> DataFrame:
-    """Adds ``relevance``: 5 for the whole question, 20 and 5 for an alias in title and text, a thousandth of the unit's own score."""
+def rescored(hits: DataFrame, title: Column, text: Column, relevance: Column, questions: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Adds ``relevance``: 5 for the whole question, 20 and 5 for an alias in title and text, a thousandth of the unit's own score.
+
+    ``hits`` has ``question_id``; ``questions`` gives each one's text and aliases.
+    """
     t, x = T.search_form(title), T.search_form(text)
-    any_in = lambda c: F.greatest(*[c.contains(a.lower()).cast("int") for a in aliases], F.lit(0)) if aliases else F.lit(0)
-    exact = F.concat(t, F.lit(" "), x).contains(" ".join(question.lower().split())).cast("int")
-    return hits.withColumn(
-        "relevance", F.round(F.col("score") + exact * 5.0 + any_in(t) * 20.0 + any_in(x) * 5.0 + F.coalesce(relevance, F.lit(0)) / 1000.0, 6)
-    )
+    bonus = F.lit(0.0)
+    for q, (question, aliases) in questions.items():
+        any_in = lambda c, aliases=aliases: F.greatest(F.lit(0), *[c.contains(a.lower()).cast("int") for a in aliases]) if aliases else F.lit(0)
+        exact = F.concat(t, F.lit(" "), x).contains(" ".join(question.lower().split())).cast("int")
+        bonus = F.when(F.col("question_id") == q, exact * 5.0 + any_in(t) * 20.0 + any_in(x) * 5.0).otherwise(bonus)
+    return hits.withColumn("relevance", F.round(F.col("score") + bonus + F.coalesce(relevance, F.lit(0)) / 1000.0, 6))
 
 
 def counted_terms(units: DataFrame, key: str, title: Column, text: Column, terms: list[str], question: str, aliases: list[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholium.plans import data_quality, retrieval
+from scholium.plans import corpus, data_quality, retrieval
 
-_MODULES = [retrieval, data_quality]
+_MODULES = [retrieval, corpus, data_quality]
 
 
 def queries() -> dict:

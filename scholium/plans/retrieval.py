@@ -33,19 +33,14 @@ def _sql_units() -> str:
     return f"SELECT c.*, d.title FROM {sql_once('chunks', 'chunk_id', 'doc_id', 'text', 'topic_tags', 'relevance_score')} c LEFT JOIN documents d USING (doc_id)"
 
 
-def _scores(units: DataFrame, terms: list[str]) -> DataFrame:
+def _scores(units: DataFrame) -> DataFrame:
     fields = lexical.index_fields(F.col("title"), F.col("text"), F.col("topic_tags"))
-    return lexical.bm25(units, "chunk_id", fields, terms).select("chunk_id", F.round("score", 6).alias("score"))
-
-
-def _all_questions(spark: SparkSession, d: str, per: "callable") -> DataFrame:
-    units = _units(spark, d)
-    return reduce(DataFrame.unionByName, [per(units, q, *spec).withColumn("question_id", F.lit(q)) for q, spec in QUESTIONS.items()])
+    return lexical.bm25(units, "chunk_id", fields, {q: spec[1] for q, spec in QUESTIONS.items()})
 
 
 def ret_keyword_bm25(spark: SparkSession, d: str) -> DataFrame:
     """The best chunks of each question by BM25."""
-    return _all_questions(spark, d, lambda u, q, text, terms, aliases: lexical.ranked(_scores(u, terms), "chunk_id", TOP))
+    return lexical.ranked(_scores(_units(spark, d)), "chunk_id", TOP, group=["question_id"])
 
 
 def _sql_bm25(q: str, terms: list[str]) -> str:
@@ -73,13 +68,11 @@ _RANKED = "SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number(
 
 def ret_bm25_rescored(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates rescored by whole question, aliases and relevance."""
-
-    def per(u, q, text, terms, aliases):
-        hits = _scores(u, terms).orderBy(F.desc("score"), "chunk_id").limit(max(8 * TOP, 50)).join(u, "chunk_id")
-        best = lexical.rescored(hits, text, F.col("title"), F.col("text"), F.col("relevance_score"), aliases).select("chunk_id", "relevance")
-        return lexical.ranked(best, "chunk_id", TOP, "relevance")
-
-    return _all_questions(spark, d, per)
+    units = _units(spark, d)
+    hits = lexical.ranked(_scores(units), "chunk_id", max(8 * TOP, 50), group=["question_id"]).drop("rank").join(units, "chunk_id")
+    asked = {q: (text, aliases) for q, (text, _, aliases) in QUESTIONS.items()}
+    best = lexical.rescored(hits, F.col("title"), F.col("text"), F.col("relevance_score"), asked).select("question_id", "chunk_id", "relevance")
+    return lexical.ranked(best, "chunk_id", TOP, "relevance", ["question_id"])
 
 
 def _form(x: str) -> str:
@@ -209,15 +202,14 @@ def ret_two_corpora(spark: SparkSession, d: str) -> DataFrame:
 
 def ret_reranked(spark: SparkSession, d: str) -> DataFrame:
     """BM25 candidates ordered by the share of the question's words they have."""
-
-    def per(u, q, text, terms, aliases):
-        hits = _scores(u, terms).orderBy(F.desc("score"), "chunk_id").limit(100).join(u.select("chunk_id", "title", "text"), "chunk_id")
-        both = F.concat(T.tokens(F.concat_ws("\n", "title", "text")), T.char_ngrams(F.concat_ws("\n", "title", "text"), 2, 2))
-        scored = hits.select("chunk_id", "score", F.round(fusion.overlap_score(terms, both), 6).alias("rerank"))
-        top = scored.orderBy(F.desc("rerank"), F.desc("score"), "chunk_id").limit(TOP)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rerank"), F.desc("score"), "chunk_id")))
-
-    return _all_questions(spark, d, per)
+    units = _units(spark, d)
+    hits = lexical.ranked(_scores(units), "chunk_id", 100, group=["question_id"]).drop("rank").join(units.select("chunk_id", "title", "text"), "chunk_id")
+    both = F.concat(T.tokens(F.concat_ws("\n", "title", "text")), T.char_ngrams(F.concat_ws("\n", "title", "text"), 2, 2))
+    share = F.lit(0.0)
+    for q, (_, terms, _) in QUESTIONS.items():
+        share = F.when(F.col("question_id") == q, fusion.overlap_score(terms, F.col("both"))).otherwise(share)
+    scored = hits.select("question_id", "chunk_id", "score", both.alias("both")).select("question_id", "chunk_id", "score", F.round(share, 6).alias("rerank"))
+    return lexical.ranked(scored, "chunk_id", TOP, "rerank", ["question_id"], ["score"])
 
 
 def _sql_reranked() -> str:
