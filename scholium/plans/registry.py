@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholium.plans import corpus, data_quality, retrieval
+from scholium.plans import corpus, data_quality, knowledge, retrieval
 
-_MODULES = [retrieval, corpus, data_quality]
+_MODULES = [retrieval, corpus, knowledge, data_quality]
 
 
 def queries() -> dict:
