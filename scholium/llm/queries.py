@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import bpe, language, neardup, ocr, readability, split, unicode_forms
+from scholium.llm import bpe, language, neardup, ocr, packing, readability, split, unicode_forms
 from scholium.session import read_table
 
 
@@ -54,6 +54,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack_documents(read_table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return readability.found(read_table(spark, d, "documents"), read_table(spark, d, "graded_passages"))
 
@@ -75,6 +83,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_profile": p9_profile,
 }
