@@ -248,7 +248,7 @@ def qual_extraction(spark: SparkSession, d: str) -> DataFrame:
     conf = F.when(F.col("average_confidence").between(0, 1), F.col("average_confidence"))
     g = pages.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"), F.count_if(empty).alias("n_empty"),
-        F.round(F.avg(conf), 6).alias("mean_confidence"), F.count_if(F.col("low_confidence") == 1).alias("n_low"),
+        F.round(F.avg(conf), 9).alias("mean_confidence"), F.count_if(F.col("low_confidence") == 1).alias("n_low"),
     )
     return g.withColumn("status", F.when(F.col("n_empty") == F.col("n_pages"), "no_text").when(F.col("n_empty") / F.col("n_pages") >= 0.5, "partial").otherwise("ok"))
 
@@ -431,7 +431,7 @@ SQL = {
     "qual_digest": _SQL_DIGEST,
     "qual_not_done": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL)",
     "qual_extraction": f"""SELECT *, CASE WHEN n_empty = n_pages THEN 'no_text' WHEN n_empty / n_pages >= 0.5 THEN 'partial' ELSE 'ok' END AS status FROM (SELECT book_id, count(*) AS n_pages, sum(length({_N}))::BIGINT AS n_chars, count(*) FILTER (trim({_N}) = '') AS n_empty,
-      round(avg(CASE WHEN average_confidence BETWEEN 0 AND 1 THEN average_confidence END), 6) AS mean_confidence, count(*) FILTER (low_confidence = 1) AS n_low FROM {sql_once('pages', 'page_id', 'book_id', 'text', 'average_confidence', 'low_confidence')} GROUP BY book_id)""",
+      round(avg(CASE WHEN average_confidence BETWEEN 0 AND 1 THEN average_confidence END), 9) AS mean_confidence, count(*) FILTER (low_confidence = 1) AS n_low FROM {sql_once('pages', 'page_id', 'book_id', 'text', 'average_confidence', 'low_confidence')} GROUP BY book_id)""",
     "qual_page_matrix": f"SELECT book_id, count(*) FILTER (reading_direction = 'native') AS native, count(*) FILTER (reading_direction = 'vertical-rtl') AS vertical_rtl, count(*) FILTER (reading_direction = 'horizontal-ltr') AS horizontal_ltr FROM {sql_once('pages', 'page_id', 'book_id', 'reading_direction')} GROUP BY book_id",
     "dict_scan": _SQL_SCAN,
     "dict_coverage": _SQL_COVERAGE,

@@ -240,10 +240,10 @@ _WEIGHTS = {"n_edges": 0.4, "mean_confidence": 0.35, "n_predicates": 0.25}
 def _features(spark: SparkSession, d: str) -> DataFrame:
     e = _graph(spark, d)["edges"].where("confidence between 0 and 1").withColumn("subject", G.tidy(F.col("subject_id"))).where("subject <> ''")
     g = e.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.countDistinct("predicate").alias("p"))
-    return g.select("subject", F.round(F.least(F.lit(1.0), F.col("n") / 20), 6).alias("n_edges"), F.round("c", 6).alias("mean_confidence"), F.round(F.least(F.lit(1.0), F.col("p") / 8), 6).alias("n_predicates"))
+    return g.select("subject", F.round(F.least(F.lit(1.0), F.col("n") / 20), 6).alias("n_edges"), F.round("c", 9).alias("mean_confidence"), F.round(F.least(F.lit(1.0), F.col("p") / 8), 6).alias("n_predicates"))
 
 
-_SQL_FEATURES = f"""f AS (SELECT subject, round(least(1e0, count(*) / 20), 6) AS n_edges, round(avg(confidence), 6) AS mean_confidence, round(least(1e0, count(DISTINCT predicate) / 8), 6) AS n_predicates
+_SQL_FEATURES = f"""f AS (SELECT subject, round(least(1e0, count(*) / 20), 6) AS n_edges, round(avg(confidence), 9) AS mean_confidence, round(least(1e0, count(DISTINCT predicate) / 8), 6) AS n_predicates
   FROM (SELECT *, lower(trim(subject_id)) AS subject FROM g WHERE confidence BETWEEN 0 AND 1) WHERE subject <> '' GROUP BY subject)"""
 
 
@@ -252,7 +252,7 @@ def stat_weighted(spark: SparkSession, d: str) -> DataFrame:
     from scholium.functions import numeric
 
     f = _features(spark, d)
-    s = f.select("subject", F.round(numeric.weighted([F.col(c) for c in _WEIGHTS], list(_WEIGHTS.values())), 9).alias("score"))
+    s = f.select("subject", F.round(numeric.weighted([F.col(c) for c in _WEIGHTS], list(_WEIGHTS.values())), 10).alias("score"))
     return s.withColumn("tier", F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.60, "middle").otherwise("low"))
 
 
@@ -288,6 +288,6 @@ SQL = {
     "stat_overlaps": _SQL_OVERLAPS,
     "stat_cooccurrence": f"""WITH {_WITH}, p AS (SELECT DISTINCT predicate AS g_, ev AS i FROM (SELECT predicate, lower(trim(unnest(evidence_ids))) AS ev FROM g) WHERE ev <> '' AND predicate IS NOT NULL), c AS (SELECT g_, count(*) AS n FROM p GROUP BY 1)
       SELECT x.g_ AS a, y.g_ AS b, count(*) AS common, round(count(*) / (any_value(cx.n) + any_value(cy.n) - count(*)), 6) AS jaccard FROM p x JOIN p y ON x.i = y.i AND x.g_ < y.g_ JOIN c cx ON cx.g_ = x.g_ JOIN c cy ON cy.g_ = y.g_ GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "stat_weighted": f"WITH {_WITH}, {_SQL_FEATURES} SELECT subject, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.60 THEN 'middle' ELSE 'low' END AS tier FROM (SELECT subject, round(n_edges * 0.4e0 + mean_confidence * 0.35e0 + n_predicates * 0.25e0, 9) AS score FROM f)",
+    "stat_weighted": f"WITH {_WITH}, {_SQL_FEATURES} SELECT subject, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.60 THEN 'middle' ELSE 'low' END AS tier FROM (SELECT subject, round(n_edges * 0.4e0 + mean_confidence * 0.35e0 + n_predicates * 0.25e0, 10) AS score FROM f)",
     "stat_stability": _sql_stability(),
 }
