@@ -302,7 +302,7 @@ def _judge_some(judge: Judge, texts, paged, repeats):
     out = []
     for i in range(len(texts)):
         a, b = int(first_par[i]), int(last_par[i])
-        if a == b or not letters[i]:
+        if a == b or not par_count[a:b].sum():
             out.append(("", 0.0, int(letters[i]), []))
             continue
         own = a

@@ -39,7 +39,8 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
     best = -(-int(s.sum()) // capacity)
     value, n = np.unique(s, return_counts=True)
     half = capacity // 2
-    thresholds = np.unique(np.concatenate([value[value <= half], [0]]))
+    thresholds = np.unique(np.concatenate([value[value <= half], capacity - value[value > half] + 1, [0, half]]))
+    thresholds = thresholds[thresholds <= half]
     if len(thresholds) > 400:  # any threshold gives a valid bound; a spread of them is enough
         thresholds = thresholds[np.linspace(0, len(thresholds) - 1, 400).astype(int)]
     for t in thresholds:

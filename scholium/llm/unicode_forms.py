@@ -38,6 +38,8 @@ _INVISIBLE = [
 _SPACES = [(0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 #: Sound marks that take a place of their own.
 _MARKS = [(0x309B, 0x309C)]
+#: What half-width sound marks stand for; they join the kana before them.
+_SOUND = ("\u3099", "\u309a")
 
 
 def _class(spans: list[tuple[int, int]]) -> str:
@@ -66,7 +68,7 @@ def compatibility_forms() -> dict[str, str]:
         if unicodedata.category(c)[0] in "PZCM":
             continue
         plain = unicodedata.normalize("NFKC", c)
-        if plain != c and any(x.isalnum() for x in plain) and not (plain[0] == " "):
+        if plain != c and (plain in _SOUND or any(x.isalnum() for x in plain) and plain[0] != " "):
             out[c] = plain
     return out
 
