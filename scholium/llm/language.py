@@ -1,8 +1,8 @@
 """Language of records and of the paragraphs of mixed ones, by hyperdimensional profiles.
 
 Every letter has a random vector of +1 and -1.  A gram binds the vectors of its
-letters, each permuted (rotated) by its place: three letters of an alphabet, or
-two ideographs or kana.  A text or a language is the bundle (sum) of its grams,
+letters, each permuted (rotated) by its place: three letters of an alphabet, an
+ideograph or kana alone, and two of these.  A text or a language is the bundle (sum) of its grams,
 and a text's language is the prototype with the highest cosine.
 
 The dot product with a prototype is linear in the grams, so a worker keeps the
@@ -95,8 +95,13 @@ def grams(points: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarr
     b = np.where(same & ((kb == 2) == wide), before, _BOUNDARY)
     a = np.where(wide, 0, np.where(same2 & (kb2 != 2) & (kb != 2), before2, _BOUNDARY))
     code = a << 42 | b << 21 | p
-    ok = wide | (k == 1) | (kb == 1)
-    return code[ok], s[ok]
+    # A run of one letter says nothing; an ideograph or kana also counts by itself.
+    ok = wide | (((k == 1) | (kb == 1)) & ~((a == b) & (b == p)))
+    pair = wide & (b != _BOUNDARY)
+    at = np.repeat(np.arange(len(p)), ok.astype(np.int8) + pair)
+    code, twice = code[at], np.concatenate(([False], at[1:] == at[:-1]))
+    lone = twice | (wide & ~pair)[at]
+    return np.where(lone, p[at], code), s[at]
 
 
 class Space:
