@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import ids, numeric
 from scholium.functions import text as T
-from scholium.operators import chunking, matching, quality, sequences, stats
+from scholium.operators import chunking, embedding, formula, layout, matching, quality, repair, sequences, stats, vectors
 from scholium.plans.common import CJK, once, sql_list, sql_once
 from scholium.session import read_table
 
@@ -406,7 +406,80 @@ _SQL_READING = """WITH b AS (SELECT user_id, event_id, round(value, 2) AS x, eve
   SELECT user_id, event_id, col::BIGINT AS col, row_number() OVER (PARTITION BY user_id ORDER BY col DESC, y, event_id) AS place FROM c"""
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if k.split("_")[0] in ("txt", "ids", "doc", "qual", "dict", "seq") and callable(f)}
+def qual_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired identifier, identity, language and title of each document, and what was changed."""
+    return repair.repaired(_docs(spark, d), "doc_id").withColumn("title", F.sha2("title", 256))
+
+
+_IN_TEXT = r"regexp_extract(lower(coalesce(text, '')), '(10\.\d{4,9}/[-._;()/:a-z0-9]+[a-z0-9])', 1)"
+_SQL_LINE = r"""CASE WHEN length(l) <= 120 AND (regexp_matches(l, '^(abstract|introduction|methods?|results?|discussion|conclusion|references|acknowledg|摘要|引言|方法|结果|讨论|结论|参考文献)', 'i') OR regexp_matches(l, '^(\d+(\.\d+)*|[IVXLC]+)[\s\.、]')) THEN left(l, 120) ELSE left(l, 80) END"""
+_SQL_REPAIR = f"""WITH b AS (SELECT doc_id, n AS declared, ({_SQL_PROBLEM}) AS p, t AS in_text, (SELECT {_SQL_PROBLEM} FROM (SELECT t AS n, regexp_extract(t, '^[^/]+/(.*)$', 1) AS s)) AS q, lower(sha256) AS sha, language, title,
+    {_sql_class('cjk', 'latin')} AS fl, {_SQL_LINE} AS line
+  FROM (SELECT *, {_SQL_DOI} AS n, regexp_extract({_SQL_DOI}, '^[^/]+/(.*)$', 1) AS s, {_IN_TEXT} AS t, len(regexp_extract_all({_N}, '{CJK}')) AS cjk, len(regexp_extract_all({_N}, '[A-Za-z]')) AS latin,
+    regexp_replace(split_part(regexp_replace({_N}, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '^\\s+|\\s+$', '', 'g') AS l FROM documents)),
+  c AS (SELECT *, CASE WHEN p = '' THEN declared WHEN in_text <> '' AND q = '' THEN in_text ELSE '' END AS doi FROM b),
+  e AS (SELECT *, CASE WHEN doi = '' THEN 'missing' WHEN min(sha) OVER (PARTITION BY doi) <> max(sha) OVER (PARTITION BY doi) THEN 'shared' ELSE 'valid' END AS doi_status,
+    CASE WHEN fl <> '' THEN fl ELSE coalesce(language, '') END AS l2, CASE WHEN trim(coalesce(title, '')) <> '' THEN title ELSE line END AS t2 FROM c)
+  SELECT doc_id, doi, doi_status, CASE WHEN doi_status = 'valid' THEN 'doi:' || doi ELSE 'sha256:' || sha END AS stable_id, l2 AS language, sha256(t2) AS title,
+    concat_ws(',', CASE WHEN doi <> declared THEN 'doi' END, CASE WHEN l2 <> coalesce(language, '') THEN 'language' END, CASE WHEN t2 IS DISTINCT FROM title THEN 'title' END) AS changes FROM e"""
+
+
+def qual_doctor(spark: SparkSession, d: str) -> DataFrame:
+    """The store's health in one row of counts, and whether all of them are right."""
+    docs, chunks, pages = (read_table(spark, d, t) for t in ("documents", "chunks", "pages"))
+    one = (
+        docs.agg(F.count(F.lit(1)).alias("n_documents"), F.countDistinct("doc_id").alias("n_document_ids"))
+        .crossJoin(chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("chunk_id").alias("n_chunk_ids"), F.count_if(F.col("text").isNull()).alias("n_empty_chunks")))
+        .crossJoin(pages.agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("page_id").alias("n_page_ids")))
+        .crossJoin(chunks.where("doc_id is not null").join(docs.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans")))
+    )
+    fine = (F.col("n_documents") == F.col("n_document_ids")) & (F.col("n_chunks") == F.col("n_chunk_ids")) & (F.col("n_pages") == F.col("n_page_ids")) & (F.col("n_orphans") == 0) & (F.col("n_empty_chunks") == 0)
+    return one.withColumn("healthy", fine)
+
+
+_SQL_DOCTOR = """SELECT *, n_documents = n_document_ids AND n_chunks = n_chunk_ids AND n_pages = n_page_ids AND n_orphans = 0 AND n_empty_chunks = 0 AS healthy FROM (SELECT count(*) AS n_documents, count(DISTINCT doc_id) AS n_document_ids FROM documents),
+  (SELECT count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_chunk_ids, count(*) FILTER (text IS NULL) AS n_empty_chunks FROM chunks), (SELECT count(*) AS n_pages, count(DISTINCT page_id) AS n_page_ids FROM pages),
+  (SELECT count(*) AS n_orphans FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM documents))"""
+
+FORMULAS = [
+    formula.Formula("wash", ("古法治", "又方"), (("lotus", ("蓮根",)), ("mallow", ("葵花",)), ("wormwood", ("蒿汁",)), ("peony", ("芍皮",)), ("reed", ("蘆灰",))), 60, 1),
+    formula.Formula("question", ("問曰",), (("thistle", ("薊葉",)), ("jujube", ("棘子",))), 60, 1),
+]
+
+
+def dict_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas in pages with their dosed herbs, by composition."""
+    pages = once(read_table(spark, d, "pages"), "page_id", "text").withColumn("text", F.regexp_replace("text", r"\s+", ""))
+    found = formula.formulas_in(pages, ["page_id"], "text", FORMULAS)
+    return found.groupBy("formula_id", F.array_join(F.transform("composition", lambda c: c["herb"]), "+").alias("herbs"), "dosed", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dict_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """How many pages name a disease and a treatment together."""
+    pages = once(read_table(spark, d, "pages"), "page_id", "text").select("page_id", F.coalesce("text", F.lit("")).alias("t"))
+    named = lambda terms: F.array_compact(F.array(*[F.when(F.col("t").contains(x), F.lit(x)) for x in terms]))
+    pairs = pages.select("page_id", F.explode(named(["湯火傷", "燙傷", "熱毒", "癰腫", "scald", "burn"])).alias("disease"), named(["浸酒", "煎湯", "研末", "dressing", "debridement"]).alias("m"))
+    return pairs.select("disease", F.explode("m").alias("method")).groupBy("disease", "method").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+_SQL_COOC = f"""WITH p AS (SELECT page_id, {_N} AS t FROM {sql_once('pages', 'page_id', 'text')}) SELECT disease, method, count(*) AS n_pages FROM p, (SELECT unnest(['湯火傷', '燙傷', '熱毒', '癰腫', 'scald', 'burn']) AS disease),
+  (SELECT unnest(['浸酒', '煎湯', '研末', 'dressing', 'debridement']) AS method) WHERE contains(t, disease) AND contains(t, method) GROUP BY 1, 2"""
+
+
+def seq_vertical_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes (events of a user as tall boxes) clustered into columns and put in reading order."""
+    x = F.coalesce("value", F.lit(0.0))
+    boxes = read_table(spark, d, "events").select("user_id", "event_id", x.alias("x1"), (F.col("event_id") % 97).cast("double").alias("y1"), (x + 20).alias("x2"), (F.col("event_id") % 97 + 60).cast("double").alias("y2"))
+    return layout.reading_order(boxes, "user_id").select("user_id", "event_id", "col", "place")
+
+
+def ret_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents near every fiftieth one by hashed words of their titles."""
+    made = embedding.embed(_docs(spark, d).where("title is not null"), "doc_id", "title", embedding.hashing_encoder(128), "hash-128")
+    return vectors.top_k(made.where("doc_id % 50 = 0"), made, "doc_id", "embedding", 5, unit=False)
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if k.split("_")[0] in ("txt", "ids", "doc", "qual", "dict", "seq", "ret") and callable(f)}
 SQL = {
     "txt_char_ngrams": f"""SELECT gram, count(*) AS n FROM (SELECT unnest(flatten(list_transform(regexp_extract_all(coalesce(title, ''), '{CJK}+'), lambda r: list_transform(range(1, length(r) + 1), lambda i: substring(r, i, 1)) || list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))) AS gram FROM documents) GROUP BY gram""",
     "txt_language_class": f"SELECT chunk_id, {_sql_class('cjk', 'latin')} AS language_class FROM (SELECT chunk_id, len(regexp_extract_all({_N}, '{CJK}')) AS cjk, len(regexp_extract_all({_N}, '[A-Za-z]')) AS latin FROM {sql_once('chunks', 'chunk_id', 'text')})",
@@ -433,6 +506,9 @@ SQL = {
     "qual_extraction": f"""SELECT *, CASE WHEN n_empty = n_pages THEN 'no_text' WHEN n_empty / n_pages >= 0.5 THEN 'partial' ELSE 'ok' END AS status FROM (SELECT book_id, count(*) AS n_pages, sum(length({_N}))::BIGINT AS n_chars, count(*) FILTER (trim({_N}) = '') AS n_empty,
       round(avg(CASE WHEN average_confidence BETWEEN 0 AND 1 THEN average_confidence END), 9) AS mean_confidence, count(*) FILTER (low_confidence = 1) AS n_low FROM {sql_once('pages', 'page_id', 'book_id', 'text', 'average_confidence', 'low_confidence')} GROUP BY book_id)""",
     "qual_page_matrix": f"SELECT book_id, count(*) FILTER (reading_direction = 'native') AS native, count(*) FILTER (reading_direction = 'vertical-rtl') AS vertical_rtl, count(*) FILTER (reading_direction = 'horizontal-ltr') AS horizontal_ltr FROM {sql_once('pages', 'page_id', 'book_id', 'reading_direction')} GROUP BY book_id",
+    "qual_repair": _SQL_REPAIR,
+    "qual_doctor": _SQL_DOCTOR,
+    "dict_cooccurrence": _SQL_COOC,
     "dict_scan": _SQL_SCAN,
     "dict_coverage": _SQL_COVERAGE,
     "dict_funnel": _SQL_FUNNEL,

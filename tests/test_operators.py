@@ -143,3 +143,66 @@ def test_bm25_odd_cases(spark):
     got = lexical.bm25(df, "k", fields, {"q": ["burn", "burn", "创面"], "none": ["zebra"]}).collect()
     assert [(r.question_id, r.k) for r in got] == [("q", "v")]
     assert lexical.bm25(df.limit(0), "k", fields, {"q": ["burn"]}).count() == 0
+
+
+def test_compile_question():
+    from scholium.operators import questions as Q
+
+    q = Q.compile_question("“创面” 《伤科》 silver dressing 烧伤治疗", {"烧伤": ["burn wound", "烧伤"]}, frozenset({"the"}), ("治疗",), ("彩票",))
+    assert q.title == "伤科" and q.focus == "创面" and q.in_scope and q.groups == [["burn", "wound", "烧伤"]] and "burn wound" in q.aliases
+    assert "治疗" not in q.terms and "silver" in q.terms
+    assert Q.compile_question("what about NV-31123 now").groups == [["nv-31123"]]
+    assert Q.compile_question("alpha beta").groups == [["alpha"], ["beta"]] and not Q.compile_question("彩票号码", out_of_scope=("彩票",)).in_scope
+    with pytest.raises(ValueError):
+        Q.compile_question(" ")
+
+
+def test_embedding_is_resumed(spark):
+    from scholium.operators import embedding as E
+
+    df = spark.createDataFrame([(1, "burn wound"), (2, None), (3, "burn wound")], "id long, text string")
+    enc = E.hashing_encoder(32)
+    done = E.embed(df.where("id < 3"), "id", "text", enc, "m")
+    got = {r.id: r.embedding for r in done.collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2])
+    more = E.missing(df, "id", "text", done, enc, "m").collect()
+    assert [r.id for r in more] == [3] and more[0].embedding == got[1]
+
+
+def test_formulas():
+    from scholium.operators import formula as M
+
+    f = [M.Formula("a", ("甲湯",), (("x", ("蓮根", "根")), ("y", ("葵花",))), 30, 1), M.Formula("b", ("乙散",), (("x", ("蓮根",)),), 30, 1)]
+    got = M.candidates("甲湯：葵花，蓮根三錢，葵花二兩。乙散蓮根。甲湯無", f)
+    assert got == [("a", 0, [("x", "三", "钱"), ("y", "二", "两")], 2, 0.85)]
+
+
+def test_vertical_columns_against_all_pairs():
+    import numpy as np
+
+    from scholium.operators import layout
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = rng.integers(1, 14)
+        x1 = rng.uniform(0, 300, n)
+        x2 = x1 + rng.uniform(5, 40, n)
+        got = layout.columns(x1, x2)
+        w, c = np.maximum(x2 - x1, 1), (x1 + x2) / 2
+        near = max(np.median(w) * 0.8, (c.max() - c.min()) * 0.008, 12)
+        over = max(np.median(w) * 0.9, (c.max() - c.min()) * 0.01, 16)
+        link = [[abs(c[i] - c[j]) <= near or (abs(c[i] - c[j]) <= over and (min(x2[i], x2[j]) - max(x1[i], x1[j])) / min(w[i], w[j]) >= 0.25) for j in range(n)] for i in range(n)]
+        seen = list(range(n))
+        for _ in range(n):
+            seen = [min(seen[j] for j in range(n) if link[i][j] or i == j) for i in range(n)]
+        assert all((got[i] == got[j]) == (seen[i] == seen[j]) for i in range(n) for j in range(n))
+
+
+def test_repair(spark):
+    from scholium.operators import repair
+
+    rows = [(1, "10.1234/abcd", "a", "en", "T", "text here"), (2, None, "b", None, None, "1. Head\nsee 10.1234/wxyz."), (3, "10.1234/same", "c", "en", "T", ""), (4, "10.1234/same", "d", "en", "T", None)]
+    got = {r.k: r for r in repair.repaired(spark.createDataFrame(rows, "k long, doi string, sha256 string, language string, title string, text string"), "k").collect()}
+    assert got[1].stable_id == "doi:10.1234/abcd" and got[1].changes == ""
+    assert got[2].stable_id == "doi:10.1234/wxyz" and got[2].title == "1. Head" and got[2].changes == "doi,language,title"
+    assert got[3].doi_status == got[4].doi_status == "shared" and got[4].stable_id == "sha256:d"
