@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -77,9 +78,13 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     _shipped.add(app)
-    package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="scholium-ship-")) / "scholium.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    package, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
+    path = f"{shared_dir(spark)}/scholium/{app}/scholium.zip"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
