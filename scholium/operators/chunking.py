@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import ids, text as T
+from scholium.session import spread
 
 _PARAGRAPH = re.compile(r"\n\s*\n+")
 _WORD = re.compile(T.WORD)
@@ -90,23 +91,24 @@ def pack(t: str, zh: bool, sizes: Sizes, overlap: float = OVERLAP, least_chars:
         at = max(start + len(u), at)
     done: list[tuple[str, int, int, int]] = []
     held: list[tuple[int, int, str]] = []
-    prefix = ""
-
-    def body(parts: list[tuple[int, int, str]]) -> str:
-        core = "\n\n".join(u for _, _, u in parts)
-        return f"{prefix}\n\n{core}" if prefix else core
+    prefix, size, before = "", 0, 0  # size: of the held units; before: of the prefix
+    gap = 2 if zh else 0  # characters of the empty line between two units
 
     def close() -> None:
-        b = body(held).strip()
+        core = "\n\n".join(u for _, _, u in held)
+        b = (f"{prefix}\n\n{core}" if prefix else core).strip()
         if b and (len(b) >= least_chars or not done):
             done.append((b, held[0][0], held[-1][1], len(prefix)))
 
     for s in spans:
-        if held and _size(body([*held, s]), zh) > sizes.most and (_size(body(held), zh) >= sizes.least or _size(s[2], zh) > sizes.most):
+        own = _size(s[2], zh)
+        if held and before + size + gap + own > sizes.most and (before + size >= sizes.least or own > sizes.most):
             close()
             prefix = _tail(done[-1][0], zh, overlap) if done and overlap > 0 else ""
-            held = [s]
+            before = _size(prefix, zh) + gap if prefix else 0
+            held, size = [s], own
         else:
+            size += own + (gap if held else 0)
             held.append(s)
     if held:
         close()
@@ -134,7 +136,7 @@ def _run(keep: list[str], overlap: float, least_chars: int):
 
 def chunk_pages(pages: DataFrame, document: str, page: str, text: str, language: Column, overlap: float = OVERLAP, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``document, page, chunk_id, chunk_index, text, section_hint, char_start, char_end, overlap_chars`` of every page; null and blank pages have none."""
-    picked = pages.select(F.col(document).cast("string").alias("doc_key"), F.col(page).cast("int").alias("page_no"), language.alias("_lang"), F.col(text).alias("_text"))
+    picked = spread(pages.select(F.col(document).cast("string").alias("doc_key"), F.col(page).cast("int").alias("page_no"), language.alias("_lang"), F.col(text).alias("_text")))
     cut = picked.mapInArrow(_run(["doc_key", "page_no"], overlap, least_chars), "doc_key string, page_no int, chunk_index int, text string, char_start int, char_end int, overlap_chars int")
     return cut.select(
         "doc_key", "page_no", ids.chunk_id("doc_key", "page_no", "chunk_index").alias("chunk_id"), "chunk_index", "text", T.section_hint("text").alias("section_hint"),

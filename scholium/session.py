@@ -63,6 +63,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for costly work row by row: dealt out anew if it has fewer parts than half the cores.
+
+    Such an input is small by definition (less than a file split for every
+    second core), so the shuffle is, too; a large scan stays where it is.
+    """
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < parts < cores / 2 else df
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a data directory."""
     ship(spark)
