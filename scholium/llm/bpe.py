@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from scholium.session import spread
+
 #: Directory of the public vocabulary files; a parameter of every operator here.
 TOKENIZER_DIR = os.environ.get("SCHOLIUM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -194,12 +196,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -
     were scanned.
     """
     kind = df.schema[key].dataType.simpleString()
-    picked = df.select(key, df[text].cast("string").alias("_text"))
+    picked = spread(df.select(key, df[text].cast("string").alias("_text")))
     return picked.mapInArrow(_batches(key, "_text", path or vocabulary_path(), False), f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key, n_tokens`` of every row; 0 for null and empty texts."""
     kind = df.schema[key].dataType.simpleString()
-    picked = df.select(key, df[text].cast("string").alias("_text"))
+    picked = spread(df.select(key, df[text].cast("string").alias("_text")))
     return picked.mapInArrow(_batches(key, "_text", path or vocabulary_path(), True), f"`{key}` {kind}, n_tokens int")

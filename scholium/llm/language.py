@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholium.session import spread
+
 LANGUAGES = ("en", "zh", "de", "fr", "ja")
 #: One prototype for each language and, as old books write another Chinese, one more for that.
 PROTOTYPES = (*LANGUAGES, "zh")
@@ -133,13 +135,6 @@ class Space:
             out[i : i + 2048] = self.vectors(codes[i : i + 2048]).astype(np.float32) @ prototypes.T
         return out
 
-    def bundle(self, codes: np.ndarray) -> np.ndarray:
-        used, n = np.unique(codes, return_counts=True)
-        out = np.zeros(self.d, np.float64)
-        for i in range(0, len(used), 2048):
-            out += n[i : i + 2048].astype(np.float32) @ self.vectors(used[i : i + 2048]).astype(np.float32)
-        return out
-
 
 def _codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
@@ -154,7 +149,10 @@ def fit(samples: list[tuple[int, str]], rounds: int = 3) -> np.ndarray:
     mean of all languages taken off and unit length.
     """
     space = Space()
-    bundles = [(place, space.bundle(_codes(text[:SAMPLE_LETTERS]))) for place, text in samples]
+    counted = [(place, *np.unique(_codes(text[:SAMPLE_LETTERS]), return_counts=True)) for place, text in samples]
+    used = np.unique(np.concatenate([c for _, c, _ in counted])) if counted else np.zeros(0, np.int64)
+    table = np.concatenate([space.vectors(used[i : i + 4096]) for i in range(0, len(used), 4096)] or [np.zeros((0, space.d), np.int8)])
+    bundles = [(k, n.astype(np.float32) @ table[np.searchsorted(used, c)].astype(np.float32)) for k, c, n in counted]
     bundles = [(k, v / n) for k, v in bundles if (n := np.linalg.norm(v)) > 0]
     agreed, protos = bundles, np.zeros((len(PROTOTYPES), space.d))
     for _ in range(rounds):
@@ -336,20 +334,24 @@ def _confidence(cos: np.ndarray) -> float:
     return round(float(e.max() / e.sum()), 4)
 
 
-def _sample(df: DataFrame, key: str, lang: str, place: int, most: int) -> list[tuple[int, str]]:
-    named = df.where((label_language(F.col("language")) == lang) & F.col(key).isNotNull() & (F.length("text") > 0))
-    ids = [r[0] for r in named.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most).collect()]
-    if not ids:
+def _sample(df: DataFrame, key: str, places: dict[str, int], most: int) -> list[tuple[int, str]]:
+    label = label_language(F.col("language"))
+    named = df.where(label.isin(list(places)) & F.col(key).isNotNull() & (F.length("text") > 0))
+    # The limit per label is applied before the shuffle, so a label of a third of all rows costs no more than others.
+    order = Window.partitionBy("lang").orderBy("h", key)
+    ids = named.select(key, label.alias("lang"), F.xxhash64(key).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    wanted = [r[0] for r in ids.select(key).collect()]
+    if not wanted:
         return []
-    rows = named.where(F.col(key).isin(ids)).select(F.substring("text", 1, SAMPLE_LETTERS)).collect()
-    return sorted((place, r[0]) for r in rows)[: 2 * most]
+    rows = named.where(F.col(key).isin(wanted)).select(label.alias("lang"), F.substring("text", 1, SAMPLE_LETTERS).alias("t")).collect()
+    return sorted((places[r.lang], r.t) for r in rows)[: 2 * most * len(places)]
 
 
 def training_sample(documents: DataFrame, pages: DataFrame | None = None, most: int = SAMPLE_PER_LANGUAGE) -> list[tuple[int, str]]:
-    """At most ``most`` labelled texts for each prototype, those with the least hash of their id."""
-    out = [x for k, lang in enumerate(LANGUAGES) for x in _sample(documents, "doc_id", lang, k, most)]
+    """About ``most`` labelled texts for each prototype, at most twice as many: those with the least hash of their id."""
+    out = _sample(documents, "doc_id", {lang: k for k, lang in enumerate(LANGUAGES)}, most)
     if pages is not None:
-        out += _sample(pages, "page_id", "zh", len(LANGUAGES), most)
+        out += _sample(pages, "page_id", {"zh": len(LANGUAGES)}, most)
     return out
 
 
@@ -403,7 +405,8 @@ def identify(documents: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataF
         df.select(F.lit(t).alias("rec_table"), F.col(k).cast("string").alias("rec_key"), label_language(F.col("language")).alias("label"), r.cast("int").alias("repeats"), F.col("text").alias("_text"))
         for t, df, k, r in (("documents", documents, "doc_id", none), ("chunks", chunks, "chunk_id", repeat), ("pages", pages, "page_id", none))
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("rec_key is not null")
+    parts = [spread(p.where("rec_key is not null")) for p in parts]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.mapInArrow(
         _identify(prototypes), "rec_table string, rec_key string, part_no int, lang string, confidence double, letters int, label string"
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.operators.components import connected_components
-from scholium.session import durable
+from scholium.session import durable, spread
 
 SIGNATURE, SKETCH = 128, 32
 TREES, DEPTH, LEAST_DEPTH = 20, 12, 4
@@ -244,7 +244,7 @@ def similar_classes(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[Dat
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("string").alias("rec_key"), loaded.alias("loaded_at"), F.col(text).cast("string").alias("_text")
     )
-    sketched = durable(rows.mapInArrow(_sketch(rule), "rec_key string, loaded_at timestamp_ntz, cls binary, sig binary"))
+    sketched = durable(spread(rows).mapInArrow(_sketch(rule), "rec_key string, loaded_at timestamp_ntz, cls binary, sig binary"))
     members = sketched.groupBy("rec_key").agg(F.min(F.struct("loaded_at", "cls")).alias("m")).select("rec_key", "m.*")
     members = durable(members)
     classes = sketched.join(members, "cls", "left_semi").groupBy("cls").agg(F.first("sig").alias("sig"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm import language
+from scholium.session import spread
 
 BANDS = (1, 2, 3, 4)
 QUANTILES = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -153,7 +154,7 @@ def reading_bands(documents: DataFrame, passages: DataFrame, pages: DataFrame |
     rows = passages.where("text is not null and band is not null").orderBy("passage_id").limit(MOST_PASSAGES).select("lang", "band", "text").collect()
     grades = fit([(r.lang, r.band, r.text) for r in rows])
     prototypes = language.fit(language.training_sample(documents, pages))
-    long = documents.where(F.length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    long = spread(documents.where(F.length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return long.mapInArrow(_grade(prototypes, grades), "doc_id long, lang string, band int")
 
 
