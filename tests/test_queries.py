@@ -18,7 +18,8 @@ def test_query_equals_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_query_without_sql_runs(spark, data, name):
-    assert registry.queries()[name](spark, data).count() > 0
+    df = registry.queries()[name](spark, data)
+    assert df.columns and df.count() >= (name != "ret_embedded")  # the smallest table need not have an id divisible by 50
 
 
 def test_entry(spark, data):
