@@ -3,12 +3,11 @@
 Every text becomes the set of its runs of consecutive letters and digits, and
 that a signature of one-byte minhashes.  The forest consists of several sorted
 orders of the signatures, each by its own selection of their bytes.  In a sorted
-order a record's candidates are the neighbours with the longest common prefix:
-near neighbours need ``LEAST_DEPTH`` equal bytes, and the farther along a crowded
-region the order has to be followed, the deeper the prefix must agree.  There
-is no end to a region other than that, so nothing is capped: at full depth the
-order is followed as far as it agrees.  Candidates that a second, independent
-part of the signature supports are then checked exactly on their runs.
+order a record's candidates are all others that agree in the first
+``LEAST_DEPTH`` bytes, however many they are and however far away they stand, so
+that a pair is found in a large family as surely as in a small one.  Candidates
+that a second, independent part of the signature supports are then checked
+exactly on their runs.
 
 Exact copies (equal letters and digits) are one class with one signature; a hot
 group of copies costs one row in the forest.
@@ -32,9 +31,9 @@ SIGNATURE, SKETCH = 128, 32
 TREES, DEPTH, LEAST_DEPTH = 20, 12, 4
 #: Share of equal sketch bytes that a candidate needs (the expected share is its similarity).
 LEAST_SKETCH = 14 / 32
-#: From this distance in a sorted order on, this many bytes must agree.
-REGIONS = ((1, LEAST_DEPTH), (33, 5), (65, 6), (257, 8), (1025, 10), (4097, DEPTH))
 _BLOCK = 2_000_000
+#: Candidate pairs that are held at once.
+_PAIRS = 200_000
 _WORD = 2**64 - 1
 
 
@@ -155,44 +154,48 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _need(distance: int) -> int:
-    return [depth for at, depth in REGIONS if distance >= at][-1]
+def _common(place: np.ndarray) -> np.ndarray:
+    """Bytes in which each row of a sorted order agrees with the next; the first byte of a row is the tree."""
+    same = place[:-1] == place[1:]
+    return np.where(same.all(axis=1), place.shape[1], same.argmin(axis=1)) - 1
 
 
-def neighbours(place: np.ndarray, sketch: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a sorted order that agree deeply enough; those of the first ``old`` rows among themselves are known."""
-    same = place[:-1] == place[1:]
-    common = np.where(same.all(axis=1), place.shape[1], same.argmin(axis=1)) - 1  # the first byte is the tree
-    reach, w, left, right = common, 1, [], []
+def _walk(place: np.ndarray, sketch: np.ndarray, old: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``neighbours`` in parts of about ``_PAIRS``, each pair once."""
+    deep = _common(place) >= LEAST_DEPTH
+    right, w = np.arange(max(old, 1), len(place)), 1
+    held, size = [], 0
     while True:
-        i = np.flatnonzero(reach >= _need(w))
-        if not len(i):
-            break
-        i = i[i + w >= old]
-        for k in range(0, len(i), 500_000):
-            j = i[k : k + 500_000]
-            near = (sketch[j] == sketch[j + w]).mean(axis=1) >= LEAST_SKETCH
-            left.append(j[near])
-            right.append(j[near] + w)
-        if len(reach) < 2:
+        right = right[right >= w]
+        right = right[deep[right - w]]
+        if not len(right):
             break
-        reach = np.minimum(reach[:-1], common[w:])
+        for k in range(0, len(right), _PAIRS):
+            j = right[k : k + _PAIRS]
+            j = j[np.count_nonzero(sketch[j] == sketch[j - w], axis=1) >= LEAST_SKETCH * SKETCH]
+            held.append((j - w, j))
+            size += len(j)
+            if size >= _PAIRS or len(held) >= _PAIRS // 100:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
         w += 1
-    if not left:
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def neighbours(place: np.ndarray, sketch: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a sorted order that agree deeply enough; those of the first ``old`` rows among themselves are known."""
+    parts = list(_walk(place, sketch, old))
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    left, right = map(np.concatenate, zip(*parts))
+    return left, right
 
 
 def _open_end(place: np.ndarray) -> int:
     """Rows at the end that may still pair with rows to come."""
-    same = place[:-1] == place[1:]
-    common = (np.where(same.all(axis=1), place.shape[1], same.argmin(axis=1)) - 1)[::-1]
-    reach = np.minimum.accumulate(common) if len(common) else common
-    need = np.empty(len(reach), np.int64)
-    for at, depth in REGIONS:
-        need[max(at - 2, 0) :] = depth
-    short = np.flatnonzero(reach < need)
-    return 1 + (int(short[0]) if len(short) else len(reach))
+    short = np.flatnonzero(_common(place)[::-1] < LEAST_DEPTH)
+    return 1 + (int(short[0]) if len(short) else len(place) - 1)
 
 
 def _harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +210,11 @@ def _harvest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.concatenate([sketch, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)])
         cls = cls + batch.column("cls").to_pylist()
         if len(cls) > 1:
-            a, b = neighbours(place, sketch, old)
-            pairs = {(x, y) if x < y else (y, x) for x, y in zip((cls[i] for i in a), (cls[i] for i in b)) if x != y}
-            if pairs:
-                xs, ys = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["a", "b"])
+            for a, b in _walk(place, sketch, old):
+                pairs = {(x, y) if x < y else (y, x) for x, y in zip((cls[i] for i in a), (cls[i] for i in b)) if x != y}
+                if pairs:
+                    xs, ys = zip(*pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["a", "b"])
         keep = _open_end(place)
         place, sketch, cls = place[-keep:], sketch[-keep:], cls[-keep:]
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from scholium.llm import neardup as N
 
@@ -85,3 +86,34 @@ def test_neighbours_across_batches_and_in_crowds():
         start = end - N._open_end(place[start:end])
         at = end
     assert pieces == {(int(a), int(b)) for a, b in whole}
+
+
+def test_a_large_family_is_paired_whole():
+    rng = np.random.default_rng(4)
+    n = 1_200
+    place = rng.integers(0, 256, (n, N.DEPTH + 1)).astype(np.uint8)
+    place[:, 0], place[:, 1 : 1 + N.LEAST_DEPTH] = 0, 7  # edited copies: the first bytes agree, the others do not
+    place, sketch = place[np.lexsort(place.T[::-1])], np.zeros((n, N.SKETCH), np.uint8)
+    cls = [i.to_bytes(16, "big") for i in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[s : s + 500]], pa.binary()) for x in (place, sketch)] + [pa.array(cls[s : s + 500], pa.binary())], ["place", "sketch", "cls"]) for s in range(0, n, 500)]
+    got = [p for b in N._harvest(iter(batches)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert len(got) == len(set(got)) == n * (n - 1) // 2
+
+
+def test_links_of_a_family_of_edited_copies():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    base, texts = [rng.choice(words) for _ in range(100)], []
+    for _ in range(1_500):
+        v = list(base)
+        for i in rng.sample(range(len(v)), 5):
+            v[i] = rng.choice(words)
+        texts.append("".join(v))
+    sig, found = N.signatures(texts, N.CHUNK_TEXT), set()
+    for order in N._orders():
+        place = np.concatenate([np.zeros((len(texts), 1), np.uint8), sig[:, order]], axis=1)
+        at = np.lexsort(place.T[::-1])
+        found |= {(min(a, b), max(a, b)) for a, b in zip(*(at[x].tolist() for x in N.neighbours(place[at], sig[at][:, : N.SKETCH])))}
+    some = [sorted(rng.sample(range(len(texts)), 2)) for _ in range(4_000)]
+    linked = [(a, b) for a, b in some if len(runs(texts[a]) & runs(texts[b])) >= 0.7 * len(runs(texts[a]) | runs(texts[b]))]
+    assert len(linked) > 1_000 and len([p for p in linked if p in found]) >= 0.98 * len(linked)
