@@ -158,6 +158,23 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return sizes.where("n_nodes >= 5")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(G.tidy(F.col("subject_id")).alias("a"), G.tidy(F.col("object_id")).alias("b")).where("a <> '' and b <> ''")
+
+
+def graph_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked node's component over all current edges, however certain."""
+    return connected_components(_links(_graph(spark, d)["edges"]), "a", "b")
+
+
+def graph_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's module: components of at least five nodes linked by approved edges of confidence 0.7 to 1."""
+    used = _graph(spark, d)["edges"].where("review_status = 'approved' and confidence >= 0.7 and confidence <= 1")
+    parts = connected_components(_links(used), "a", "b")
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")).where("n_nodes >= 5")
+    return parts.join(large, "component").select("node", "component", "n_nodes")
+
+
 _SQL_COMPONENTS = f"""WITH RECURSIVE {_WITH}, l AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT lower(trim(subject_id)) AS a, lower(trim(object_id)) AS b FROM g WHERE confidence >= 0.97 AND confidence <= 1) WHERE a <> '' AND b <> '' AND a <> b),
   u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), r(x, m) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.x WHERE r.m < u.b)
   SELECT m AS component, count(*) AS n_nodes FROM (SELECT x, min(m) AS m FROM r GROUP BY x) GROUP BY m HAVING count(*) >= 5"""

@@ -11,6 +11,7 @@ from scholium.functions import ids, numeric
 from scholium.functions import text as T
 from scholium.operators import chunking, fusion, lexical, matching, quality, sequences, stats, vectors
 from scholium.operators.components import connected_components
+from scholium.plans import knowledge
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,23 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_the_graph(spark, data):
+    def parts(edges):
+        group = {}
+        for a, b in {(e.subject_id.strip(" ").lower(), e.object_id.strip(" ").lower()) for e in edges if e.subject_id and e.object_id}:
+            if a and b and a != b:
+                both = group.get(a, {a}) | group.get(b, {b})
+                group.update(dict.fromkeys(both, both))
+        return {(x, min(g), len(g)) for x, g in group.items()}
+
+    edges = knowledge._graph(spark, data)["edges"].collect()
+    assert {tuple(r) for r in knowledge.graph_components_all(spark, data).collect()} == {p[:2] for p in parts(edges)}
+    used = [e for e in edges if e.review_status == "approved" and e.confidence is not None and 0.7 <= e.confidence <= 1]
+    assert {tuple(r) for r in knowledge.graph_modules(spark, data).collect()} == {p for p in parts(used) if p[2] >= 5}
+    linked = sum(r.n_nodes for r in knowledge.graph_components(spark, data).collect())
+    assert linked < len({p for p in parts(used) if p[2] >= 5}) <= len(parts(edges))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["burn wound heals. ", "创面愈合良好。", "word ", "\n\n", "，", "x" * 40]), max_size=400))
 def test_chunks_keep_everything(parts):
