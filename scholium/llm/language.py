@@ -32,7 +32,7 @@ SAMPLE_PER_LANGUAGE = 150
 SAMPLE_LETTERS = 4_000
 #: A record with fewer letters and digits is not judged against its label.
 LEAST_LETTERS = 20
-#: Characters that a chunk repeats from the one before, at most (its own count may be missing or stale).
+#: Characters that a chunk repeats from the one before, at most, where its own count is missing or stale.
 LONGEST_REPEAT = 150
 _CHUNK = 400_000
 _BOUNDARY = 1
@@ -399,8 +399,10 @@ def identify(documents: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataF
     """
     prototypes = fit(training_sample(documents, pages))
     none = F.lit(0)
-    index = F.coalesce(F.col("chunk_index"), F.lit(1))
-    repeat = F.when(index <= 0, 0).otherwise(LONGEST_REPEAT)
+    index, said = F.coalesce(F.col("chunk_index"), F.lit(1)), F.col("overlap_chars")
+    # A chunk's own count holds if it is 0 or an empty line stands behind it.
+    holds = (said == 0) | (said > 0) & (F.substring("text", said + 1, F.lit(2)) == "\n\n")
+    repeat = F.when(index <= 0, 0).when(holds, said).otherwise(LONGEST_REPEAT)
     parts = [
         df.select(F.lit(t).alias("rec_table"), F.col(k).cast("string").alias("rec_key"), label_language(F.col("language")).alias("label"), r.cast("int").alias("repeats"), F.col("text").alias("_text"))
         for t, df, k, r in (("documents", documents, "doc_id", none), ("chunks", chunks, "chunk_id", repeat), ("pages", pages, "page_id", none))

@@ -63,6 +63,15 @@ def test_labels(spark):
     assert got == ["en", "en", "zh", "zh", "en", "mixed", "mixed", "de", None, None, None, None, None, None, None, "fr"]
 
 
+def test_own_first_paragraph_of_a_chunk(spark, data):
+    docs, chunks, pages = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "chunks", "pages"))
+    own, long = "Die Wunde wurde gereinigt und mit einem sauberen Verband versorgt, danach blieb der Kranke im Bett.", EN * 3
+    rows = [("zero", 3, 0), ("fits", 3, len(own)), ("null", 3, None), ("stale", 3, 7), ("negative", None, -4), ("first", 0, 40)]
+    made = spark.createDataFrame([(k, i, n, "en", f"{own}\n\n{long}") for k, i, n in rows], "chunk_id string, chunk_index int, overlap_chars int, language string, text string")
+    got = {r.rec_key: r.lang for r in L.identify(docs, made, pages).where("rec_table = 'chunks'").collect()}
+    assert got == {"zero": "mixed", "fits": "en", "null": "en", "stale": "en", "negative": "en", "first": "mixed"}
+
+
 def test_rows(spark, data):
     docs, chunks, pages = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "chunks", "pages"))
     rows = L.found(docs, chunks, pages).collect()
