@@ -9,7 +9,7 @@ from scholium.llm import unicode_forms as U
 CASES = {
     "ｆｕｌｌ １２": ("full 12", True), "ﬁne ﬂow": ("fine flow", True), "été": ("été", True), "が": ("が", True), "a​b﻿": ("ab", True), "a b　c": ("a b c", True),
     "⼈⽕": ("人火", True), "凉": ("凉", True), "𝗍𝖾st": ("test", True), "wоund": ("wound", True), "NF-κB TNF-α κb": ("NF-κB TNF-α κb", False), "，。！（）": ("，。！（）", False), "plain": ("plain", False),
-    "": ("", False), "​": ("", True), "Привет мир": ("Привет мир", False), "石\U000e0100": ("石", True), "m²": ("m2", True), "ﾊﾟ": ("パ", True),
+    "": ("", False), "​": ("", True), "Привет мир": ("Привет мир", False), "石\U000e0100": ("石", True), "m²": ("m2", True), "Москвa и mир": ("Москва и мир", True), "Cлово": ("Слово", True), "Ꭺlpha": ("Alpha", True), "сoat а": ("coat а", True), "λόγoς": ("λόγoς", False), "сoat scоatсoat": ("coat scoatcoat", True), "ﾊﾟ": ("パ", True),
 }
 
 
@@ -32,6 +32,19 @@ def test_stable(texts):
     assert [p for p, _ in run([p for p, _ in once])] == [p for p, _ in once]
 
 
+def test_long_texts_go_in_parts(monkeypatch):
+    texts = ["ｆｕｌｌ " * 50, None, "", "ok", "ﬁ" * 1000, "x"] * 5
+    whole = run(texts)
+    monkeypatch.setattr(U, "PART_BYTES", 300)
+    parts = U._normalise([])(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["_text"])]))
+    assert [x for out in parts for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist())] == whole
+
+
+def test_words_by_letters_and_in_sql_alike():
+    words = ["Москвa", "mир", "Cлово", "wоund", "Ꭺlpha", "Αlphа", "οo"]
+    assert [x for x, _ in run(words)] == [U.one_script(w) for w in words]
+
+
 def test_tables(spark):
     from datetime import datetime
 
