@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.session import durable
+from scholium.session import durable, release
 
 #: Rounds after which an unfinished run is an error; labels reach every member in about log(size) rounds.
 MOST_ROUNDS = 60
@@ -34,7 +34,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         small = large.join(low, "u")
         step = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step = durable(step)
-        changed = step.exceptAll(now).limit(1).count() or now.exceptAll(step).limit(1).count()
+        # Both are sets, so equal sizes and nothing new in the one mean that they are equal.
+        changed = step.count() != now.count() or step.join(now, ["u", "v"], "left_anti").limit(1).count()
+        release(now)
         now = step
         if not changed:
             labels = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")

@@ -28,9 +28,16 @@ def local_session(cores: int | str = "*", app: str = "scholium", shuffle: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is set only where none is named."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where none is named, a session whose master is this machine gets a folder of
+    its own; on a cluster that would be a different folder on every machine, so
+    there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder; a cluster needs one that all executors share")
         at = tempfile.mkdtemp(prefix="scholium-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,13 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may be gone already; the folder is scratch space
+        pass
+
+
 def _sweep() -> None:
     for spark, path in _written:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may be gone already; the folder is scratch space
-            pass
+        _delete(spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing reads any more."""
+    files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for spark, path in list(_written):
+        if any(f.endswith(path.split(":", 1)[-1]) for f in files):
+            _written.remove((spark, path))
+            _delete(spark, path)
 
 
 def durable(df: DataFrame) -> DataFrame:
