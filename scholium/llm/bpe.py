@@ -26,6 +26,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from scholium.session import spread
@@ -169,9 +170,21 @@ def vocabulary_path(directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> s
     return os.path.join(directory, name)
 
 
-def _batches(key: str, text: str, path: str, count_only: bool):
+_sent: set[tuple[str, str]] = set()
+
+
+def _send(df: DataFrame, path: str) -> str:
+    """Give the vocabulary file to every executor, once per application; its name there."""
+    context = df.sparkSession.sparkContext
+    if (context.applicationId, path) not in _sent:
+        _sent.add((context.applicationId, path))
+        context.addFile(path)
+    return os.path.basename(path)
+
+
+def _batches(key: str, text: str, name: str, count_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(SparkFiles.get(name))
         for batch in batches:
             coded = [bpe.encode_bytes(t) for t in batch.column(text).to_pylist()]
             lengths = np.fromiter((len(c) >> 2 for c in coded), np.int32, len(coded))
@@ -197,11 +210,11 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -
     """
     kind = df.schema[key].dataType.simpleString()
     picked = spread(df.select(key, df[text].cast("string").alias("_text")))
-    return picked.mapInArrow(_batches(key, "_text", path or vocabulary_path(), False), f"`{key}` {kind}, ids array<int>")
+    return picked.mapInArrow(_batches(key, "_text", _send(df, path or vocabulary_path()), False), f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``key, n_tokens`` of every row; 0 for null and empty texts."""
     kind = df.schema[key].dataType.simpleString()
     picked = spread(df.select(key, df[text].cast("string").alias("_text")))
-    return picked.mapInArrow(_batches(key, "_text", path or vocabulary_path(), True), f"`{key}` {kind}, n_tokens int")
+    return picked.mapInArrow(_batches(key, "_text", _send(df, path or vocabulary_path()), True), f"`{key}` {kind}, n_tokens int")

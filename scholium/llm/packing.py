@@ -6,7 +6,9 @@ Each partition is packed by best-fit decreasing and certified by lower bounds
 from dual feasible functions.  A partition that uses more containers than its
 bound has a gap: it gives its emptiest containers' items to the exchange, where
 the items of all such partitions are packed together, and so on until the
-bound is met or a round brings nothing.
+bound is met or a round brings nothing.  ``certificates`` states, for every
+partition of every round and for the whole, the containers used, the bound and
+the gap between them.
 """
 
 from __future__ import annotations
@@ -23,21 +25,21 @@ from scholium.session import durable
 CAPACITY = 4_096
 #: Items of a partition, about; what a partition leaves unused is less than a container.
 PARTITION_ITEMS = 50_000
-#: Rounds of exchange, at most; each one packs the open containers of several partitions together.
-ROUNDS = 3
-#: Partitions that exchange with each other in a round.
-FAN_IN = 16
+#: Another round of exchange is worth it only if the last one left at most this share of its items open.
+WORTH = 0.9
 #: Containers filled less than this are open for exchange in a partition that has a gap.
 OPEN_BELOW = 0.995
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Containers that any packing of ``sizes`` needs: the best of three families of dual feasible functions."""
+def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """Containers that any packing of ``sizes`` (each ``times`` over) needs: the best of three families of dual feasible functions."""
     s = np.asarray(sizes, np.int64)
     if not len(s):
         return 0
-    best = -(-int(s.sum()) // capacity)
     value, n = np.unique(s, return_counts=True)
+    if times is not None:
+        n = np.bincount(np.searchsorted(value, s), np.asarray(times, np.int64)).astype(np.int64)
+    best = -(-int((value * n).sum()) // capacity)
     half = capacity // 2
     thresholds = np.unique(np.concatenate([value[value <= half], capacity - value[value > half] + 1, [0, half]]))
     thresholds = thresholds[thresholds <= half]
@@ -135,20 +137,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PART
         "item", "part_no", "size", F.lit(-1).cast("long").alias("home"), F.monotonically_increasing_id().alias("slot")
     )
     rest = parts.where(F.col("size") < capacity)
-    homes = max(1, -(-rest.count() // partition_items))
-    done, at, rounds = [full], rest, ROUNDS if homes > 1 else 0
-    for k in range(rounds + 1):
-        last = k == rounds or homes == 1
+    left = rest.count()
+    done, at, k, last = [full], rest, 0, False
+    while True:
+        homes = max(1, -(-left // partition_items))
+        last = last or homes == 1
         placed = at.withColumn("bucket", F.pmod(F.xxhash64("item", "part_no", F.lit(k)), F.lit(homes)).cast("int")).groupBy("bucket").applyInPandas(_pack(capacity, last), _OUT)
         placed = durable(placed)
         done.append(placed.where("closed").select("item", "part_no", "size", (F.col("home") + k * 1_000_000_000).alias("home"), "slot"))
         if last:
             break
-        at = placed.where("not closed").select("item", "part_no", "size")
-        left = at.count()
+        at, before = placed.where("not closed").select("item", "part_no", "size"), left
+        left, k = at.count(), k + 1
         if not left:
             break
-        homes = max(1, min(-(-homes // FAN_IN), -(-left // partition_items)))
+        last = left > WORTH * before  # this round brought little; the next one closes all
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -166,14 +169,33 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | N
     return packed.select(F.col("item").alias("doc_id"), "part_no", F.col("size").alias("n_tokens"), "container_id", "position", "start")
 
 
+def _certify(capacity: int):
+    def run(key: tuple, counted: pd.DataFrame) -> pd.DataFrame:
+        sizes, n = counted["n_tokens"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+        return pd.DataFrame({"home": [key[0]], "n_items": [int(n.sum())], "used": [int((sizes * n).sum())], "bound": [lower_bound(sizes, capacity, n)]})
+
+    return run
+
+
+def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``home, n_items, used, n_containers, bound, gap`` per partition, and of all together as home ``all``.
+
+    ``home`` is round and partition as the containers' ids begin; ``bound`` is
+    the least number of containers that any packing of these items needs, so a
+    gap of 0 certifies that they cannot be packed better.  Sizes are counted
+    before they are shuffled: a partition is at most ``capacity`` rows.
+    """
+    home = F.substring_index("container_id", ":", 1)
+    sizes = packed.groupBy(home.alias("home"), "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.unionByName(sizes.groupBy("n_tokens").agg(F.sum("n").alias("n")).withColumn("home", F.lit("all")))
+    bounds = both.groupBy("home").applyInPandas(_certify(capacity), "home string, n_items long, used long, bound long")
+    used = packed.select(home.alias("home"), "container_id").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("n_containers"))
+    used = used.unionByName(used.agg(F.lit("all").alias("home"), F.sum("n_containers").alias("n_containers")))
+    return bounds.join(used, "home").select("home", "n_items", "used", "n_containers", "bound", (F.col("n_containers") - F.col("bound")).alias("gap"))
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``n_containers, n_items, used, unused_share, least_possible``: the last from the total size alone."""
-    return packed.agg(
-        F.countDistinct("container_id").alias("n_containers"), F.count(F.lit(1)).alias("n_items"), F.sum(F.col("n_tokens").cast("long")).alias("used")
-    ).select(
-        "n_containers",
-        "n_items",
-        "used",
-        F.round(1 - F.col("used") / (F.col("n_containers") * capacity), 6).alias("unused_share"),
-        F.ceil(F.col("used") / capacity).cast("long").alias("least_possible"),
+    """``n_containers, n_items, used, unused_share, least_possible``: the last by the dual feasible functions over all items."""
+    return certificates(packed, capacity).where("home = 'all'").select(
+        "n_containers", "n_items", "used", F.round(1 - F.col("used") / (F.col("n_containers") * capacity), 6).alias("unused_share"), F.col("bound").alias("least_possible")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scholium.llm import bpe, language, neardup, ocr, packing, readability, split, unicode_forms
-from scholium.session import read_table
+from scholium.session import durable, read_table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(packing.pack_documents(read_table(spark, d, "documents")))
+    return packing.fill(durable(packing.pack_documents(read_table(spark, d, "documents"))))
+
+
+def p8_certificates(spark: SparkSession, d: str) -> DataFrame:
+    return packing.certificates(durable(packing.pack_documents(read_table(spark, d, "documents"))))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +89,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_certificates": p8_certificates,
     "p9_found": p9_found,
     "p9_profile": p9_profile,
 }

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.session import durable
+
 LIMIT = 1_500
 OVERLAP = 120
 #: A boundary of a better grade is taken only if the piece then fills this share of what is free.
@@ -129,16 +131,24 @@ def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     return long.groupBy("chunk_id").agg(F.min(row).alias("r")).select("chunk_id", "r.*")
 
 
+#: Documents with oversized chunks whose ids are sent to every executor; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
 def split_chunks(chunks: DataFrame, documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``chunk_id, piece_no, text, char_start, char_end, overlap_chars`` of every chunk above the limit.
 
     ``char_start``/``char_end`` place a piece's own part (without what it
     repeats) in the document.  A chunk's own offsets are used only if the
     document has the chunk's text there; otherwise the text is looked up in the
-    document, and if it is not there at all both are null.
+    document, and if it is not there at all both are null.  Only documents with
+    an oversized chunk are shuffled.
     """
-    long = oversized(chunks, limit)
-    docs = documents.select("doc_id", F.col("text").alias("doc_text"))
+    long = durable(oversized(chunks, limit))
+    wanted = long.select("doc_id").where("doc_id is not null").distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    docs = documents.select("doc_id", F.col("text").alias("doc_text")).join(wanted, "doc_id", "left_semi")
     located = long.join(docs, "doc_id", "left").select(
         "chunk_id",
         "text",

@@ -56,6 +56,12 @@ def test_exchange_between_partitions(spark):
         assert at <= 4096
     parts = np.array([r.size for r in rows])
     assert len(held) <= 1.02 * packing.lower_bound(parts)
+    packed = packing.pack(df, 4096, 300).withColumnRenamed("size", "n_tokens")
+    proof = {r.home: r for r in packing.certificates(packed).collect()}
+    assert proof["all"].n_containers == len(held) and proof["all"].bound == packing.lower_bound(parts) and len(proof) > 2
+    for home, r in proof.items():
+        own = [x for x in rows if home == "all" or x.container_id.startswith(home + ":")]
+        assert r.n_items == len(own) and r.bound == packing.lower_bound(np.array([x.size for x in own])) and r.gap == r.n_containers - r.bound >= 0
     with pytest.raises(ValueError):
         packing.pack(df, 0)
     assert packing.pack(df.limit(0)).count() == 0
