@@ -10,11 +10,17 @@ referring record was first loaded:
 Method.  References are pre-aggregated per key and period, target rows per key
 and period as well; a running window over the periods of a key (at most a row
 per period, however hot the key) gives each (key, period) the target's state at
-its start and the few changes inside it.  Keys are then split by weight: the
-verdicts of heavy keys are few by construction (at most ``total/heavy_share``
-of them) and are broadcast, after their number has been checked, so that the
-references of a hot key stay where they are; all other references are shuffled
-by key.  Both outcomes are united.
+its start and the few changes inside it.  Keys are then split by weight.  A key
+is heavy from a fixed share of all references on, so there are never more than
+``1 / HEAVY_SHARE`` of them, however many references; these few ids are
+broadcast and mark each reference in one pass.  The verdicts of heavy keys are
+broadcast too, after their number has been checked (each is spread over salts
+otherwise), so that the references of a hot key stay where they are; all other
+references are shuffled by key.  Both outcomes are united.
+
+Counts need no rows: where a key did not change within a period, all its
+references of that period have one reason, and the pre-aggregated numbers are
+added up; only the others are judged one by one.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 
 from scholium.session import durable
 
-#: A key is heavy from this many references in one task's share of the data on.
-HEAVY_KEY_ROWS = 2_000
+#: A key is heavy from this share of all references on, if that is at least so many.
+HEAVY_SHARE, HEAVY_KEY_ROWS = 1 / 2_000, 2_000
 #: Verdict rows that may be broadcast; beyond it the heavy keys are shuffled with a salt.
 BROADCAST_ROWS = 200_000
 #: Salts over which a heavy key's references are spread if its verdicts are not broadcast.
@@ -121,6 +127,36 @@ def _reason() -> Column:
     )
 
 
+_KEY = ["target", "ref_id"]
+
+
+def _judged(rows: DataFrame, state: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` with their verdict's columns; references of a heavy key are not shuffled by it."""
+    on = [*_KEY, "period"]
+    # At most 1 / HEAVY_SHARE keys.
+    marked = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), _KEY, "left")
+    heavy_state = durable(state.join(F.broadcast(heavy), _KEY, "left_semi"))
+    hot = marked.where("heavy")
+    if _small(heavy_state):
+        hot = hot.join(F.broadcast(heavy_state), on)
+    else:  # keys with very many periods: spread the references of each over salts instead
+        salted = heavy_state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hot = hot.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+    rest = marked.where("heavy is null").join(state, on)
+    return hot.unionByName(rest).drop("heavy")
+
+
+def _prepared(tables: dict[str, DataFrame], keys: dict[str, str], refs: list[Reference]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """References, their numbers per record table, field, key and period, the keys' states, and the heavy keys."""
+    tables = {t: _as_ntz(df) for t, df in tables.items()}
+    rows = durable(references(tables, refs))
+    counts = durable(rows.groupBy("rec_table", "field_name", "target", "ref_id", "period").agg(F.count(F.lit(1)).alias("n")))
+    state = durable(verdicts(counts, histories(tables, keys)))
+    least = max(HEAVY_KEY_ROWS, int((counts.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE))
+    heavy = durable(state.groupBy(*_KEY).agg(F.sum("n").alias("total")).where(F.col("total") >= least).drop("total"))
+    return rows, counts, state, heavy
+
+
 def orphans(tables: dict[str, DataFrame], keys: dict[str, str], refs: list[Reference]) -> DataFrame:
     """``rec_table, rec_id, field_name, ref_id, reason, period``, all strings, every row distinct.
 
@@ -130,23 +166,9 @@ def orphans(tables: dict[str, DataFrame], keys: dict[str, str], refs: list[Refer
     ``missing`` (as target).  Only the named columns are read, so extra columns
     with clashing names do no harm.
     """
-    tables = {t: _as_ntz(df) for t, df in tables.items()}
-    rows = durable(references(tables, refs))
-    counts = rows.groupBy("target", "ref_id", "period").agg(F.count(F.lit(1)).alias("n"))
-    state = durable(verdicts(counts, histories(tables, keys)))
-    heavy = state.groupBy("target", "ref_id").agg(F.sum("n").alias("total")).where(F.col("total") >= HEAVY_KEY_ROWS).drop("total")
-    heavy_state = state.join(F.broadcast(heavy), ["target", "ref_id"], "left_semi") if _small(heavy) else state.join(heavy, ["target", "ref_id"], "left_semi")
-    on = ["target", "ref_id", "period"]
-    if _small(heavy_state):
-        hot = rows.join(F.broadcast(heavy_state), on)
-        rest = rows.join(F.broadcast(heavy), ["target", "ref_id"], "left_anti").join(state, on)
-    else:  # too many heavy keys for every executor: spread each over salts instead
-        salted = heavy_state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hot = rows.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
-        rest = rows.join(heavy, ["target", "ref_id"], "left_anti").join(state, on)
+    rows, _, state, heavy = _prepared(tables, keys, refs)
     out = ["rec_table", "rec_id", "field_name", "ref_id", "reason", "period"]
-    judged = [d.withColumn("reason", _reason()).where("reason is not null").select(*out) for d in (hot, rest)]
-    return judged[0].unionByName(judged[1])
+    return _judged(rows, state, heavy).withColumn("reason", _reason()).where("reason is not null").select(*out)
 
 
 def _small(df: DataFrame) -> bool:
@@ -160,9 +182,26 @@ def _as_ntz(df: DataFrame) -> DataFrame:
     return df
 
 
-def orphan_counts(found: DataFrame) -> DataFrame:
-    """Orphans per referring table, field, month and reason."""
-    return found.groupBy("rec_table", "field_name", "period", "reason").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("ref_id").alias("n_ids"))
+def orphan_counts(tables: dict[str, DataFrame], keys: dict[str, str], refs: list[Reference]) -> DataFrame:
+    """``rec_table, field_name, period, reason, n_refs, n_ids``: orphans per referring table, field, month and reason.
+
+    The same references as ``orphans``; null ids, empty tables and repeated
+    deliveries as there.
+    """
+    rows, counts, state, heavy = _prepared(tables, keys, refs)
+    on, kept = [*_KEY, "period"], ["rec_table", "field_name", "ref_id", "period", "reason", "n"]
+    gone = F.date_format("before.deleted_at", "yyyy-MM")
+    # Neither a version nor a deletion within the period: one reason for all its references.
+    still = F.col("inside").isNull() & ~F.coalesce(gone == F.col("period"), F.lit(False))
+    reason = F.when(~F.coalesce("known", F.lit(False)), "missing").when(F.col("before").isNull(), "late").when(gone < F.col("period"), "deleted")
+    fixed = state.where(still).select(*on, reason.alias("reason")).where("reason is not null")
+    whole = counts.join(fixed, on).select(*kept)
+    changing = durable(state.where(~still))
+    named = changing.select(*on)
+    moved = rows.join(F.broadcast(named) if _small(named) else named, on, "left_semi")
+    single = _judged(moved, changing, heavy).withColumn("reason", _reason()).where("reason is not null").withColumn("n", F.lit(1).cast("long")).select(*kept)
+    per_id = whole.unionByName(single).groupBy("rec_table", "field_name", "period", "reason", "ref_id").agg(F.sum("n").alias("n"))
+    return per_id.groupBy("rec_table", "field_name", "period", "reason").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_ids"))
 
 
 # The references of the evidence graph.

@@ -8,17 +8,16 @@ from scholium.operators import orphans as O
 from scholium.session import read_table
 
 
-def _graph_orphans(spark: SparkSession, d: str) -> DataFrame:
-    tables = {t: read_table(spark, d, t) for t in ("graph_edges", "graph_evidence", "graph_nodes", "graph_sources")}
-    return O.orphans(tables, O.GRAPH_KEYS, O.GRAPH_REFERENCES)
+def _graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: read_table(spark, d, t) for t in ("graph_edges", "graph_evidence", "graph_nodes", "graph_sources")}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _graph_orphans(spark, d)
+    return O.orphans(_graph(spark, d), O.GRAPH_KEYS, O.GRAPH_REFERENCES)
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    return O.orphan_counts(_graph_orphans(spark, d))
+    return O.orphan_counts(_graph(spark, d), O.GRAPH_KEYS, O.GRAPH_REFERENCES)
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}

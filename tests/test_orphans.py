@@ -43,6 +43,18 @@ def found(spark, edges, nodes):
     return [tuple(r) for r in O.orphans(t, KEYS, REFS).select("rec_table", "rec_id", "field_name", "ref_id", "reason", "period").collect()]
 
 
+def counted(spark, edges, nodes):
+    t = {"graph_edges": spark.createDataFrame(edges, EDGE), "graph_nodes": spark.createDataFrame(nodes, NODE)}
+    return {(r.rec_table, r.field_name, r.period, r.reason): (r.n_refs, r.n_ids) for r in O.orphan_counts(t, KEYS, REFS).collect()}
+
+
+def summed(judged):
+    out = {}
+    for table, _, field, ref, why, period in judged:
+        out.setdefault((table, field, period, why), []).append(ref)
+    return {k: (len(v), len(set(v))) for k, v in out.items()}
+
+
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(O, "HEAVY_KEY_ROWS", 20)
     rng = random.Random(4)
@@ -61,10 +73,11 @@ def test_against_brute_force(spark, monkeypatch):
             edges.append((*e[:4], e[4] + timedelta(days=rng.choice([0, 9])), "y"))
     got = found(spark, edges, nodes)
     assert len(got) == len(set(got)) and set(got) == judge(edges, nodes)
+    assert counted(spark, edges, nodes) == summed(got)
 
 
 def test_odd_cases(spark):
-    assert found(spark, [], []) == []
+    assert found(spark, [], []) == [] and counted(spark, [], []) == {}
     assert found(spark, [], [("a", T0, None)]) == []
     edges = [("e", None, None, None, T0, None), ("f", " ", None, ["A ", "a", None, ""], T0, "r"), (None, "z", None, ["z"], T0, "r"), ("g", "z", None, [], None, "r")]
     assert found(spark, edges, []) == [("graph_edges", "f", "evidence_ids", "a", "missing", "2024-01")]
@@ -78,3 +91,4 @@ def test_many_heavy_keys_are_shuffled(spark, monkeypatch):
     edges = [(f"e{i}", f"n{i % 9}", None, ["q"], T0, "r") for i in range(60)]
     nodes = [(f"n{i}", T0 + timedelta(days=i - 4), None) for i in range(7)]
     assert set(found(spark, edges, nodes)) == judge(edges, nodes)
+    assert counted(spark, edges, nodes) == summed(judge(edges, nodes))
