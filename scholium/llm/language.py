@@ -5,10 +5,15 @@ letters, each permuted (rotated) by its place: three letters of an alphabet, an
 ideograph or kana alone, and two of these.  A text or a language is the bundle (sum) of its grams,
 and a text's language is the prototype with the highest cosine.
 
-The dot product with a prototype is linear in the grams, so a worker keeps the
-products of each gram it has met and adds them up: the sum is the product of
-the whole bundle.  The length of a bundle of ``n`` grams is taken as its
-expected value under quasi-orthogonal gram vectors.
+The cosine is computed without making each bundle.  The dot product with a
+prototype is linear in the grams, so a worker keeps the products of each gram it
+has met and adds them up: the sum is the product of the whole bundle.  The
+length of a bundle follows from how often each gram stands in it, as the vectors
+of different grams are all but orthogonal: ``sqrt(dimensions * sum of squared
+counts)``.
+
+A text, or a paragraph of one, is mixed if sentences that clearly stand in one
+language meet sentences that clearly stand in another.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ SAMPLE_PER_LANGUAGE = 150
 SAMPLE_LETTERS = 4_000
 #: A record with fewer letters and digits is not judged against its label.
 LEAST_LETTERS = 20
-#: Characters that a chunk repeats from the one before, at most, where its own count is missing or stale.
+#: Characters that a chunk repeats from the one before, at most, where neither its count nor its offsets tell.
 LONGEST_REPEAT = 150
 _CHUNK = 400_000
 _BOUNDARY = 1
@@ -199,14 +204,33 @@ class Judge:
             return out
         return self.val[slots]
 
-    def scores(self, points: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosine of each of ``n`` segments with each prototype, and its number of grams."""
+    def bundles(self, points: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every gram with its segment and its products with the prototypes."""
         codes, seg = grams(points, segment)
+        return codes, seg, self.products(codes) if len(codes) else np.zeros((0, len(self.protos)), np.float32)
+
+    def cosines(self, codes: np.ndarray, seg: np.ndarray, products: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine of the bundle of each of ``n`` segments (rising, -1 for none) with each prototype, and its number of grams."""
+        if len(seg) and seg.min() < 0:
+            keep = seg >= 0
+            codes, seg, products = codes[keep], seg[keep], products[keep]
         total, count = np.zeros((n, len(self.protos))), np.bincount(seg, minlength=n)
         if len(codes):
             starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-            total[seg[starts]] = np.add.reduceat(self.products(codes), starts, axis=0, dtype=np.float64)
-        return total / (np.sqrt(self.space.d) * np.maximum(count, 1)[:, None]), count
+            total[seg[starts]] = np.add.reduceat(products, starts, axis=0, dtype=np.float64)
+        return total / np.sqrt(self.space.d * np.maximum(squared_counts(codes, seg, n), 1))[:, None], count
+
+
+def squared_counts(codes: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the squared counts of the different grams of each of ``n`` segments."""
+    if not len(codes):
+        return np.zeros(n)
+    # A segment's grams by 40 bits of their hash: two of one segment fall together once in 10^12.
+    key = seg.astype(np.uint64) << np.uint64(40) | (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+    key.sort()
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times = np.diff(np.concatenate((starts, [len(key)]))).astype(np.float64)
+    return np.bincount((key[starts] >> np.uint64(40)).astype(np.int64), times * times, n)
 
 
 def segments(texts: list[str], paged: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,16 +271,18 @@ def segments(texts: list[str], paged: list[bool]) -> tuple[np.ndarray, np.ndarra
     return points, (np.cumsum(new_sen) - 1).astype(np.int32), (np.cumsum(new_par) - 1).astype(np.int32), text[new_par]
 
 
-#: Grams that sentences of another language need together to make a text mixed, and the least lead of each.
-THIN_GRAMS, WIDE_GRAMS, LEAD = 110, 40, 0.02
+#: What a sentence needs to count as clearly in a language: so many grams (of an alphabet, of ideographs or kana),
+#: and a cosine so much above that of any other language.  Two unrelated bundles differ by about 0.03.
+THIN_GRAMS, WIDE_GRAMS, LEAD = 16, 8, 0.12
 _WIDE = (LANGUAGES.index("zh"), LANGUAGES.index("ja"))
 
 
 def judge_texts(judge: Judge, texts: list[str], paged: list[bool], repeats: list[int]) -> list[tuple[str, float, int, list[tuple[str, float]]]]:
     """For each text its language (or ``mixed``), a confidence, its letters and digits, and its paragraphs' languages.
 
-    ``repeats``: characters at the start that another record has already; a
-    first paragraph no longer than that is not held against the record.
+    ``repeats``: characters at the start that another record has already; they
+    are not held against the record.  A negative number is a guess: then only
+    a first paragraph no longer than that is left out.
     """
     out = []
     at = 0
@@ -279,58 +305,77 @@ def _per_language(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _clear(cosine: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The language that each sentence clearly stands in, -1 for none."""
+    rows = np.arange(len(cosine))
+    best = cosine.argmax(axis=1)
+    rest = cosine.copy()
+    rest[rows, best] = -np.inf
+    enough = count >= np.where(np.isin(best, _WIDE), WIDE_GRAMS, THIN_GRAMS)
+    return np.where(enough & (cosine[rows, best] - rest.max(axis=1) >= LEAD), best, -1)
+
+
 def _judge_some(judge: Judge, texts, paged, repeats):
     points, sen, par, par_text = segments(texts, paged)
     if not len(points):
         return [("", 0.0, 0, []) for _ in texts]
-    n_sen, n_par = int(sen[-1]) + 1, int(par[-1]) + 1
-    cosine, count = judge.scores(points, sen, n_sen)
+    n_sen, n_par, n = int(sen[-1]) + 1, int(par[-1]) + 1, len(texts)
     kind = classes(points)
+    text_len = np.fromiter((len(t.lower()) for t in texts), np.int64, n)
+    text_of = np.repeat(np.arange(n), text_len)
+    letters = np.bincount(text_of, kind > 0, n).astype(int)
+    first_par, last_par = np.searchsorted(par_text, np.arange(n)), np.searchsorted(par_text, np.arange(n), side="right")
+    par_start = np.flatnonzero(np.concatenate(([True], par[1:] != par[:-1])))
+    text_start = np.cumsum(text_len) - text_len
+    own = first_par.copy()  # the first paragraph that is the record's own
+    for i in np.flatnonzero(np.asarray(repeats) != 0):
+        a, b, said = first_par[i], last_par[i], repeats[i]
+        if said > 0:
+            own[i] = a + np.searchsorted(par_start[a:b] - text_start[i], said)
+        elif b - a > 1 and par_start[a + 1] - text_start[i] <= 2 - said:
+            own[i] = a + 1
+        if own[i] >= b:
+            own[i] = a
     sen_par = np.zeros(n_sen, np.int64)
     sen_par[sen] = par
-    weight = cosine * count[:, None]
-    par_sum, par_count = np.zeros((n_par, cosine.shape[1])), np.bincount(sen_par, count, n_par)
-    np.add.at(par_sum, sen_par, weight)
-    par_cos = _per_language(par_sum / np.maximum(par_count, 1)[:, None])
-    cosine = _per_language(cosine)
-    par_length = np.bincount(par, minlength=n_par)
-    text_len = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
-    text_of = np.repeat(np.arange(len(texts)), text_len)
-    letters = np.bincount(text_of, kind > 0, len(texts)).astype(int)
-    first_par = np.searchsorted(par_text, np.arange(len(texts)))
-    last_par = np.searchsorted(par_text, np.arange(len(texts)), side="right")
-    last_sen = np.searchsorted(sen_par, last_par)
+    codes, seg, products = judge.bundles(points, sen)
+    cosine, count = judge.cosines(codes, seg, products, n_sen)
+    clear = _clear(_per_language(cosine), count)
+    gram_par = sen_par[seg]
+    par_cos, par_count = judge.cosines(codes, gram_par, products, n_par)
+    par_cos = _per_language(par_cos)
+    kept = np.arange(n_par) >= own[par_text]
+    for i in np.flatnonzero(np.bincount(par_text, par_count * kept, n) == 0):  # nothing of its own but marks
+        own[i], kept[first_par[i] : last_par[i]] = first_par[i], True
+    gram_text = np.where(kept[gram_par], par_text[gram_par], -1)
+    whole, whole_count = judge.cosines(codes, gram_text, products, n)
+    whole = _per_language(whole)
+    # Which languages clear sentences of a paragraph, and of a record, stand in.
+    said = np.zeros((n_par, len(LANGUAGES)), bool)
+    said[sen_par[clear >= 0], clear[clear >= 0]] = True
+    par_mixed = said.sum(axis=1) > 1
+    of_text = np.zeros((n, len(LANGUAGES)), bool)
+    np.logical_or.at(of_text, par_text[kept], said[kept])
+    mixed = of_text.sum(axis=1) > 1
     best = par_cos.argmax(axis=1)
-    sen_best = cosine.argmax(axis=1)
     out = []
-    for i in range(len(texts)):
+    for i in range(n):
         a, b = int(first_par[i]), int(last_par[i])
-        if a == b or not par_count[a:b].sum():
+        if a == b or not whole_count[i]:
             out.append(("", 0.0, int(letters[i]), []))
             continue
-        own = a
-        if b - a > 1 and repeats[i] and par_length[a] <= repeats[i] + 2:
-            own = a + 1  # what the chunk before has as well
-        if not par_count[own:b].sum():
-            own = a
-        whole = _per_language(par_sum[own:b].sum(axis=0) / max(par_count[own:b].sum(), 1))
-        lang = int(whole.argmax())
-        # Sentences that clearly stand in another language than most of the text.
-        held = np.arange(np.searchsorted(sen_par, own), last_sen[i])
-        other = held[(sen_best[held] != lang) & (cosine[held].max(axis=1) - cosine[held, lang] > LEAD)]
-        mixed = any(count[other[sen_best[other] == k]].sum() >= (WIDE_GRAMS if k in _WIDE else THIN_GRAMS) for k in set(sen_best[other].tolist()))
-        if not paged[i]:
-            for q in range(own, b):
-                least = 8 if best[q] in _WIDE else 24
-                mixed |= bool(best[q] != lang and par_count[q] >= least and par_cos[q, best[q]] - par_cos[q, lang] > LEAD)
-        conf = _confidence(whole)
-        pars = [(LANGUAGES[best[q]], _confidence(par_cos[q])) for q in range(a, b)] if not paged[i] else []
-        out.append(("mixed" if mixed else LANGUAGES[lang], conf, int(letters[i]), pars))
+        pars = [("mixed" if par_mixed[q] else LANGUAGES[best[q]], _confidence(par_cos[q])) for q in range(a, b)] if not paged[i] else []
+        out.append(("mixed" if mixed[i] else LANGUAGES[int(whole[i].argmax())], _confidence(whole[i]), int(letters[i]), pars))
     return out
 
 
+#: Spread of the difference of two cosines that come about by chance, in this many dimensions.
+_CHANCE = (2 / DIMENSIONS) ** 0.5
+
+
 def _confidence(cos: np.ndarray) -> float:
-    e = np.exp((cos - cos.max()) * 150)
+    """Share of the best language among all, by how far each cosine lies behind in units of chance."""
+    e = np.exp((cos - cos.max()) / _CHANCE)
     return round(float(e.max() / e.sum()), 4)
 
 
@@ -399,10 +444,16 @@ def identify(documents: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataF
     """
     prototypes = fit(training_sample(documents, pages))
     none = F.lit(0)
-    index, said = F.coalesce(F.col("chunk_index"), F.lit(1)), F.col("overlap_chars")
-    # A chunk's own count holds if it is 0 or an empty line stands behind it.
-    holds = (said == 0) | (said > 0) & (F.substring("text", said + 1, F.lit(2)) == "\n\n")
-    repeat = F.when(index <= 0, 0).when(holds, said).otherwise(LONGEST_REPEAT)
+    said, length, own = F.col("overlap_chars"), F.length("text"), F.col("char_end") - F.col("char_start")
+    # What a chunk repeats ends with an empty line, where its offsets or its own count say.
+    fits = lambda n: (n > 0) & (F.substring("text", n + 1, F.lit(2)) == "\n\n")
+    repeat = (
+        F.when(F.col("chunk_index") <= 0, 0)
+        .when(fits(length - own - 2), length - own - 2)
+        .when(fits(said), said)
+        .when((said == 0) | (own == length), 0)
+        .otherwise(-LONGEST_REPEAT)
+    )
     parts = [
         df.select(F.lit(t).alias("rec_table"), F.col(k).cast("string").alias("rec_key"), label_language(F.col("language")).alias("label"), r.cast("int").alias("repeats"), F.col("text").alias("_text"))
         for t, df, k, r in (("documents", documents, "doc_id", none), ("chunks", chunks, "chunk_id", repeat), ("pages", pages, "page_id", none))

@@ -66,10 +66,34 @@ def test_labels(spark):
 def test_own_first_paragraph_of_a_chunk(spark, data):
     docs, chunks, pages = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "chunks", "pages"))
     own, long = "Die Wunde wurde gereinigt und mit einem sauberen Verband versorgt, danach blieb der Kranke im Bett.", EN * 3
-    rows = [("zero", 3, 0), ("fits", 3, len(own)), ("null", 3, None), ("stale", 3, 7), ("negative", None, -4), ("first", 0, 40)]
-    made = spark.createDataFrame([(k, i, n, "en", f"{own}\n\n{long}") for k, i, n in rows], "chunk_id string, chunk_index int, overlap_chars int, language string, text string")
+    rows = [
+        ("zero", 3, 0, None), ("fits", 3, len(own), None), ("null", 3, None, None), ("stale", 3, 7, None), ("negative", None, -4, None), ("first", 0, 40, None),
+        ("by offsets", 3, 7, len(long)), ("all its own", 3, 7, len(long) + len(own) + 2), ("stale offsets", 3, len(own), 5),
+    ]
+    made = spark.createDataFrame(
+        [(k, i, n, 100, None if e is None else 100 + e, "en", f"{own}\n\n{long}") for k, i, n, e in rows],
+        "chunk_id string, chunk_index int, overlap_chars int, char_start int, char_end int, language string, text string",
+    )
     got = {r.rec_key: r.lang for r in L.identify(docs, made, pages).where("rec_table = 'chunks'").collect()}
-    assert got == {"zero": "mixed", "fits": "en", "null": "en", "stale": "en", "negative": "en", "first": "mixed"}
+    assert got == {
+        "zero": "mixed", "fits": "en", "null": "en", "stale": "en", "negative": "en", "first": "mixed", "by offsets": "en", "all its own": "mixed", "stale offsets": "en"
+    }
+
+
+def test_cosines_are_those_of_explicit_bundles(judge):
+    texts = [EN, ZH, JA, EN * 3 + DE, "die Wunde die Wunde die Wunde", "a b"]
+    for text in texts:
+        points = np.array([ord(c) for c in text.lower()], np.int64)
+        codes, seg, products = judge.bundles(points, np.zeros(len(points), np.int32))
+        got, n = judge.cosines(codes, seg, products, 1)
+        bundle = judge.space.vectors(codes).astype(np.float64).sum(axis=0)
+        want = judge.protos @ bundle / np.linalg.norm(bundle)
+        assert n[0] == len(codes) and np.allclose(got[0], want, rtol=0.2, atol=0.02) and got[0].argmax() == want.argmax()
+
+
+def test_a_paragraph_of_two_languages_is_mixed(judge):
+    got = L.judge_texts(judge, [f"{EN}{ZH}\n\n{EN * 2}", f"{ZH}{ZH}\r\n \r\nNF-κB and TNF-α.\n\n{ZH}"], [False] * 2, [0] * 2)
+    assert [x for x, _ in got[0][3]] == ["mixed", "en"] and got[0][0] == "mixed" and got[1][0] == "zh"
 
 
 def test_rows(spark, data):
