@@ -42,6 +42,38 @@ def test_against_all_pairs(spark):
     assert not got - want and len(got & want) >= 0.98 * len(want) and len(want) > 50
 
 
+def test_crowds_and_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(N, "BLOCK_COPIES", 3)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    base, items = [rng.choice(words) for _ in range(40)], []
+    for i in range(150):  # one family of edited copies, some of them exact
+        v = list(base)
+        for j in rng.sample(range(40), i % 5):
+            v[j] = rng.choice(words)
+        items.append((f"f{i}", " ".join(v)))
+    items += corpus(rng, 40)
+    df = spark.createDataFrame(items, "id string, text string")
+    got = [(r.key_a, r.key_b) for r in N.pairs(df, "id", "text", RULE).collect()]
+    want = brute(items)
+    assert len(got) == len(set(got)) and not set(got) - want and len(set(got) & want) >= 0.99 * len(want) and len(want) > 5_000
+    links = {}
+    for a, b in got:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    assert {r.rec_key: r.n_links for r in N.groups(df, "id", "text", RULE).collect()} == {k: links.get(k, 0) for k, _ in items}
+
+
+def test_shares_against_sets():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(5, 80))) for _ in range(60)]
+    left, right = texts[:30], texts[30:]
+    want = [len(runs(a) & runs(b)) / len(runs(a) | runs(b)) for a, b in zip(left, right)]
+    assert np.allclose(N.shares(left, right, 5), want)
+    common, size = N._common_runs(texts, 5)
+    assert all(common[i, j] == len(runs(a) & runs(b)) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j) and list(size) == [len(runs(t)) for t in texts]
+
+
 def test_copies_and_groups(spark):
     base = "the quick brown fox jumps over the lazy dog and runs home again"
     items = [("a", base), ("b", base.upper() + "!!"), ("c", base + "s"), ("d", "something else entirely, with other words in every single place"), ("e", None), ("f", ""), ("g", "short"), ("a", base), (None, base)]
