@@ -197,9 +197,7 @@ def orphan_counts(tables: dict[str, DataFrame], keys: dict[str, str], refs: list
     fixed = state.where(still).select(*on, reason.alias("reason")).where("reason is not null")
     whole = counts.join(fixed, on).select(*kept)
     changing = durable(state.where(~still))
-    named = changing.select(*on)
-    moved = rows.join(F.broadcast(named) if _small(named) else named, on, "left_semi")
-    single = _judged(moved, changing, heavy).withColumn("reason", _reason()).where("reason is not null").withColumn("n", F.lit(1).cast("long")).select(*kept)
+    single = _judged(rows, changing, heavy).withColumn("reason", _reason()).where("reason is not null").withColumn("n", F.lit(1).cast("long")).select(*kept)
     per_id = whole.unionByName(single).groupBy("rec_table", "field_name", "period", "reason", "ref_id").agg(F.sum("n").alias("n"))
     return per_id.groupBy("rec_table", "field_name", "period", "reason").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_ids"))
 
