@@ -6,6 +6,8 @@ counts as empty unless stated otherwise.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,14 +45,39 @@ def char_ngrams(c: Column | str, least: int = 1, most: int = 2) -> Column:
     return F.flatten(F.concat(*[F.transform(runs, grams(n)) for n in range(least, most + 1)]))
 
 
+def _accents() -> tuple[str, str]:
+    """Small letters of the Latin alphabet with accents, and the same letters without; by rule from the character database."""
+    out = {}
+    for p in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(p)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c == c.lower() and len(plain) == 1 and plain != c and plain.isascii() and plain.isalpha():
+            out[c] = plain
+    return "".join(out), "".join(out.values())
+
+
+ACCENTED, BARE = _accents()
+#: Accents that stand as characters of their own.
+ACCENTS = "[\u0300-\u036f]"
+#: Full-width letters, digits and marks, and the common ones.
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def without_accents(c: Column) -> Column:
+    """Small letters of the Latin alphabet without their accents."""
+    return F.translate(F.regexp_replace(c, ACCENTS, ""), ACCENTED, BARE)
+
+
 def tokens(c: Column | str) -> Column:
-    """Lower-case runs of ASCII letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(_text(c)), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    """Lower-case runs of letters and digits without accents, in order; ideographs part words and are left to ``char_ngrams``."""
+    bare = without_accents(F.regexp_replace(F.lower(_text(c)), CJK, " "))
+    return F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def search_form(c: Column | str) -> Column:
-    """Lower case with dashes and white space unified (the form for texts already in compatibility form)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_text(c)), r"[‐-―]", "-"), r"\s+", " "))
+    """Lower case without accents, full-width forms, dashes and white space made one."""
+    plain = without_accents(F.lower(F.translate(_text(c), WIDE, NARROW)))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[‐-―]", "-"), r"\s+", " "))
 
 
 def language_class(c: Column | str) -> Column:
@@ -115,14 +142,58 @@ def occurrences(c: Column | str, term: str) -> Column:
 def snippet(c: Column | str, terms: list[str], size: int) -> Column:
     """``size`` characters from a third before the first term on, ellipses where text is left out."""
     x = _text(c)
-    low = F.lower(x)
-    places = F.filter(F.array(*[F.instr(low, t) for t in terms]), lambda p: p > 0)
-    first = F.coalesce(F.array_min(places), F.lit(1)) - 1
+    first = F.coalesce(first_match(x, terms), F.lit(1)) - 1
     start = F.greatest(F.lit(0), first - size // 3)
     body = F.regexp_replace(F.substring(x, start + 1, F.lit(size)), "\n", " ")
     return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + size < F.length(x), "…").otherwise(""))
 
 
+def around(c: Column | str, terms: list[str], reach: int = 220) -> Column:
+    """The text ``reach`` characters before and behind the first term, white space collapsed; null without a term."""
+    x = _text(c)
+    at = first_match(x, terms) - 1
+    longest = F.lit(max(map(len, terms)))
+    start = F.greatest(F.lit(0), at - reach)
+    return F.trim(F.regexp_replace(F.substring(x, start + 1, at - start + longest + reach), r"\s+", " "))
+
+
+def work_title(c: Column | str) -> Column:
+    """A file's name as a work's title: without extension, leading number and what follows the first mark of a part."""
+    x = F.regexp_replace(_text(c), r"\.[A-Za-z0-9]{1,5}$", "")
+    x = F.regexp_replace(x, r"^[0-9]+[\s._-]*", "")
+    return F.trim(F.regexp_replace(x, r"\s*[(\[_（［【].*$", ""))
+
+
+def graph_text(c: Column | str) -> Column:
+    """A name as it is compared in the graph: full-width forms and white space made one."""
+    return F.trim(F.regexp_replace(F.translate(_text(c), WIDE, NARROW), r"\s+", " "))
+
+
+def graph_key(c: Column | str) -> Column:
+    """The same with case folded (sharp s and final sigma as well)."""
+    return F.replace(F.replace(F.lower(graph_text(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+def without_space(c: Column | str) -> Column:
+    """The text without any white space, as quotes are compared."""
+    return F.regexp_replace(_text(c), r"\s+", "")
+
+
+def quote_match(quote: Column, text: Column) -> Column:
+    """How a quote stands in a text: ``exact``, ``normalized_whitespace``, ``missing``, or ``no_quote``."""
+    return (
+        F.when(F.trim(_text(quote)) == "", "no_quote")
+        .when(_text(text).contains(_text(quote)), "exact")
+        .when(without_space(text).contains(without_space(quote)), "normalized_whitespace")
+        .otherwise("missing")
+    )
+
+
+def labels(*cs: Column) -> Column:
+    """The labels that are not empty, joined by semicolons."""
+    return F.array_join(F.filter(F.array(*[F.trim(_text(c)) for c in cs]), lambda x: x != ""), ";")
+
+
 def term_pattern(term: str) -> str:
     """A term as a pattern: Latin terms end at letters and digits, others are literal."""
     escaped = "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in term.lower())

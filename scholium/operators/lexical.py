@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
+from scholium.operators.questions import plain
 from scholium.session import durable
 
 K1, B = 1.2, 0.75
@@ -19,9 +23,73 @@ def index_fields(title: Column, text: Column, tags: Column) -> dict[str, Column]
     return {"title": T.tokens(title), "text": T.tokens(text), "grams": T.char_ngrams(both), "tags": T.tokens(tags)}
 
 
+@dataclass(frozen=True)
+class Index:
+    """A kept index: ``token, key, f, len`` of every unit and token, sorted by token, and the units' number and mean length."""
+
+    postings: DataFrame
+    key: str
+    n_units: int
+    mean_len: float
+
+
+#: Parts over which the postings of one token are spread, so that a frequent one is no task of its own.
+TOKEN_PARTS = 8
+
+
+def build_index(units: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> Index:
+    """Reads every unit once and keeps its postings in the shared folder, so that questions read only those of their tokens."""
+    size = sum((F.size(f) for f in fields.values()), F.lit(0))
+    every = F.concat(*[_weighed(f, weights[n]) for n, f in fields.items()])
+    rows = units.select(key, size.alias("len"), every.alias("hits"))
+    counted = rows.select(key, "len", F.explode("hits").alias("h")).groupBy(key, "len", F.col("h.token").alias("token")).agg(F.sum("h.w").alias("f"))
+    kept = durable(counted.repartition(F.col("token"), F.pmod(F.xxhash64(key), F.lit(TOKEN_PARTS))).sortWithinPartitions("token"))
+    n, total = units.count(), kept.groupBy(key).agg(F.max("len").alias("len")).agg(F.sum("len")).first()[0]  # a unit without tokens has no posting
+    return Index(kept, key, n, (total or 0) / max(n, 1))
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """What a kept index was made of: the names, sizes and times of the files read."""
+    spark = tables[0].sparkSession
+    conf, parts = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in sorted({f for t in tables for f in t.inputFiles()}):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        parts.append(f"{f}|{s.getLen()}|{s.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+_kept: dict[tuple[str, str, str], Index] = {}
+
+
+def kept_index(name: str, tables: list[DataFrame], make) -> Index:
+    """The index ``make()`` gives, made again only if the files of ``tables`` have changed in this application."""
+    at = (tables[0].sparkSession.sparkContext.applicationId, name, fingerprint(*tables))
+    if at not in _kept:
+        _kept[at] = make()
+    return _kept[at]
+
+
+def search_index(index: Index, questions: dict[str, list[str]]) -> DataFrame:
+    """``question_id, key, score`` as ``bm25`` gives it, from a kept index: the tokens asked for are filtered in the scan."""
+    asked = [(q, t) for q, terms in questions.items() for t in dict.fromkeys(terms)]
+    terms = sorted({t for _, t in asked})
+    tf = index.postings.where(F.col("token").isin(terms))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row for each term asked for
+    of = tf.sparkSession.createDataFrame(asked, "question_id string, token string")
+    joined = tf.join(F.broadcast(df), "token")
+    idf = F.greatest(F.log((F.lit(index.n_units) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean_len)))
+    return joined.select(index.key, "token", part.alias("part")).join(F.broadcast(of), "token").groupBy("question_id", index.key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
 def _count_of(tokens: Column, terms: list[str], weight: float) -> Column:
     """Weighted frequencies of the wanted terms as an array of (token, weight)."""
-    return F.transform(F.filter(tokens, lambda t: t.isin(terms)), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
+    return _weighed(F.filter(tokens, lambda t: t.isin(terms)), weight)
+
+
+def _weighed(tokens: Column, weight: float) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
 
 
 def bm25(units: DataFrame, key: str, fields: dict[str, Column], questions: dict[str, list[str]], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
@@ -78,8 +146,8 @@ def rescored(hits: DataFrame, title: Column, text: Column, relevance: Column, qu
     t, x = T.search_form(title), T.search_form(text)
     bonus = F.lit(0.0)
     for q, (question, aliases) in questions.items():
-        any_in = lambda c, aliases=aliases: F.greatest(F.lit(0), *[c.contains(a.lower()).cast("int") for a in aliases]) if aliases else F.lit(0)
-        exact = F.concat(t, F.lit(" "), x).contains(" ".join(question.lower().split())).cast("int")
+        any_in = lambda c, aliases=aliases: F.greatest(F.lit(0), *[c.contains(plain(a)).cast("int") for a in aliases]) if aliases else F.lit(0)
+        exact = F.concat(t, F.lit(" "), x).contains(plain(question)).cast("int")
         bonus = F.when(F.col("question_id") == q, exact * 5.0 + any_in(t) * 20.0 + any_in(x) * 5.0).otherwise(bonus)
     return hits.withColumn("relevance", F.round(F.col("score") + bonus + F.coalesce(relevance, F.lit(0)) / 1000.0, 6))
 

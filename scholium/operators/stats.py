@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def log_factorials(spark: SparkSession, most: int) -> DataFrame:
-    """``n, lf`` for 0..most; one row per number, so its size is the population's."""
-    step = spark.range(0, most + 1, numPartitions=1).select(F.col("id").alias("n"), F.log(F.greatest(F.col("id"), F.lit(1)).cast("double")).alias("l"))
-    return step.select("n", F.sum("l").over(Window.orderBy("n")).alias("lf"))
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of numbers from 1 on, to about 13 digits: Stirling's series, eight steps further up."""
+    x = x.cast("double")
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    steps = F.lit(1.0)
+    for i in range(8):
+        steps = steps * (x + i)
+    return (y - 0.5) * F.log(y) - y + 0.5 * F.log(F.lit(2 * math.pi)) + series - F.log(steps)
+
+
+def log_factorial(n: Column) -> Column:
+    """Logarithm of ``n!``; a closed expression, no table."""
+    return log_gamma(n + 1)
+
+
+#: Spreads of the distribution beyond which its terms no longer count (each is below 10^-30 of the greatest).
+TAIL_SPREADS = 12
 
 
-def hypergeometric_tail(tests: DataFrame, key: str, most: int) -> DataFrame:
+def hypergeometric_tail(tests: DataFrame, key: str) -> DataFrame:
     """``key, p``: chance of at least ``k`` hits among ``n`` drawn of a population ``N`` with ``K`` successes.
 
     ``tests`` has ``k, n, K_, N_``.  No hit needed gives 1, more hits than
-    possible give 0.
+    possible give 0.  The shorter side of the distribution is summed, from the
+    nearest term on and as far as terms count: as many as a few spreads, which
+    grow with the root of the numbers.
     """
-    table = log_factorials(tests.sparkSession, most)
-    values = table.agg(F.array_sort(F.collect_list(F.struct("n", "lf"))).alias("t")).select(F.transform("t", lambda x: x["lf"]).alias("lf"))
-    t = tests.crossJoin(F.broadcast(values))
-    lf = lambda n: F.element_at("lf", (n + 1).cast("int"))
-    comb = lambda n, k: lf(n) - lf(k) - lf(n - k)
-    low = F.greatest(F.col("k"), F.col("n") - (F.col("N_") - F.col("K_")))
-    high = F.least(F.col("K_"), F.col("n"))
-    steps = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    term = lambda i: F.exp(comb(F.col("K_"), i) + comb(F.col("N_") - F.col("K_"), F.col("n") - i) - comb(F.col("N_"), F.col("n")))
-    p = F.aggregate(F.transform(steps, term), F.lit(0.0), lambda a, x: a + x)
-    return t.select(key, F.when(F.col("k") <= 0, 1.0).otherwise(F.least(F.lit(1.0), p)).alias("p"))
+    k, n, big, pop = (F.col(c).cast("long") for c in ("k", "n", "K_", "N_"))
+    low, high = F.greatest(F.lit(0), n - (pop - big)), F.least(big, n)
+    mean = n.cast("double") * big / pop
+    spread = F.sqrt(mean * (1 - big / pop) * F.greatest(F.lit(0.0), (pop - n) / F.greatest(pop - 1, F.lit(1)))) * TAIL_SPREADS + 60
+    upper = k > mean
+    first = F.when(upper, F.greatest(k, low)).otherwise(F.greatest(low, F.floor(F.least(mean, k.cast("double")) - spread)))
+    last = F.when(upper, F.least(high, F.ceil(k + spread))).otherwise(F.least(high, k - 1))
+    comb = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    term = lambda i: F.exp(comb(big, i) + comb(pop - big, n - i) - comb(pop, n))
+    steps = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(F.transform(steps, term), F.lit(0.0), lambda a, x: a + x)
+    p = F.when(k <= low, 1.0).when(k > high, 0.0).when(upper, total).otherwise(1 - total)
+    return tests.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
 
 
 def benjamini_hochberg(df: DataFrame, key: str, p: str, name: str = "q") -> DataFrame:
@@ -62,12 +82,15 @@ def set_overlaps(members: DataFrame, group: str, item: str, least: int = 1) -> D
     )
     a, b = sizes.select(F.col("g").alias("a"), F.col("n").alias("na")), sizes.select(F.col("g").alias("b"), F.col("n").alias("nb"))
     share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return both.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", "common", F.round(share, 6).alias("jaccard"))
+    return both.join(a, "a").join(b, "b").select("a", "b", "common", F.round(share, 6).alias("jaccard"))
 
 
-def scenarios(weights: dict[str, float], step: float = 0.2) -> list[tuple[str, dict[str, float]]]:
-    """The weights as they are and with each one lowered and raised, all rescaled to sum to 1."""
+def scenarios(weights: dict[str, float], step: float = 0.2, shift: tuple[str, str, float] | None = None) -> list[tuple[str, dict[str, float]]]:
+    """The weights as they are, with each one lowered and raised by a share, and with an amount moved between two of them, all rescaled to sum to 1."""
     out = [("baseline", dict(weights))]
+    if shift:
+        a, b, by = shift
+        out += [(f"{a}_to_{b}", weights | {a: weights[a] - by, b: weights[b] + by}), (f"{b}_to_{a}", weights | {a: weights[a] + by, b: weights[b] - by})]
     for d in weights:
         for label, by in (("minus", 1 - step), ("plus", 1 + step)):
             out.append((f"{d}_{label}", weights | {d: weights[d] * by}))

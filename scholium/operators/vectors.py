@@ -1,45 +1,53 @@
-"""Exact inner-product search of a query set against all vectors, in blocks."""
+"""Exact inner-product search of a query set against all vectors, in blocks of queries."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 1_024, 8_192
+#: Queries that are sent to every executor at once, at most; more are answered block by block.
+QUERY_BLOCK = 8_192
+#: Vectors that are compared with a block of queries in one matrix product.
+ROW_BLOCK = 4_096
 
 
-def _blocks(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about ``rows``: ``name_block, name_keys, name_vectors``."""
-    n = max(1, -(-df.count() // rows))
-    at = F.pmod(F.xxhash64(key), F.lit(n)).alias("b")
-    return df.select(at, key, vector).groupBy("b").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias("x")).select(
-        F.col("b").alias(f"{name}_block"), F.col("x.k").alias(f"{name}_keys"), F.col("x.v").alias(f"{name}_vectors")
-    )
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _search(k: int, unit: bool):
-    def matrix(rows) -> np.ndarray:
-        m = np.stack([np.asarray(r, np.float64) for r in rows])
-        if unit:
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        return m
+def _search(keys: np.ndarray, queries: np.ndarray, k: int, unit: bool):
+    """The ``k`` best rows of a task for each query; a task keeps no more than these."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                q, x = matrix(row.q_vectors), matrix(row.x_vectors)
-                qk, xk = np.asarray(row.q_keys), np.asarray(row.x_keys)
-                order = np.argsort(xk, kind="stable")  # so that ties go to the lesser key
-                score = np.round(q @ x[order].T, 6)
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(qk, best.shape[1]), "match_id": xk[order][best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(keys), 0), -np.inf)
+        where = np.zeros((len(keys), 0), keys.dtype)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("x_key").type
+            for part in (batch.slice(i, ROW_BLOCK) for i in range(0, batch.num_rows, ROW_BLOCK)):
+                x_key = part.column("x_key").to_numpy(zero_copy_only=False)
+                order = np.argsort(x_key, kind="stable")
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                x, x_key = (_unit(x) if unit else x)[order], x_key[order]
+                score = np.round(queries @ x.T, 6)
+                score[keys[:, None] == x_key[None, :]] = -np.inf  # a row does not find itself
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best = np.concatenate([best, np.take_along_axis(score, top, 1)], axis=1)
+                where = np.concatenate([where, x_key[top]], axis=1)
+                # By score, of ties the lesser key.
+                rank = np.argsort(where, axis=1, kind="stable")
+                best, where = np.take_along_axis(best, rank, 1), np.take_along_axis(where, rank, 1)
+                rank = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, where = np.take_along_axis(best, rank, 1), np.take_along_axis(where, rank, 1)
+        if kind is not None:
+            ok = np.isfinite(best)
+            q = np.broadcast_to(keys[:, None], best.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(q[ok], kind), pa.array(where[ok], kind), pa.array(best[ok])], ["query_id", "match_id", "score"])
 
     return run
 
@@ -47,18 +55,29 @@ def _search(k: int, unit: bool):
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, unit: bool = True) -> DataFrame:
     """``query_id, match_id, score, rank``: the ``k`` nearest other rows of each query; ties by id.
 
-    Both sides are packed into blocks and each pair of blocks is one matrix
-    product that keeps ``k`` rows per query, so neither side is ever whole in
-    one place.  Null vectors are left out, a zero vector scores 0.
+    Queries are sent out in blocks of at most ``QUERY_BLOCK``; the rows stay
+    where they are scanned, and each task gives ``k`` of them per query, so
+    only those are shuffled.  Null and empty vectors are left out, a zero
+    vector scores 0; vectors are of one length.
     """
     known = lambda d: d.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    q = _blocks(known(queries), key, vector, QUERY_BLOCK, "q")
-    x = _blocks(known(rows), key, vector, ROW_BLOCK, "x")
+    q = known(queries).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    x = known(rows).select(F.col(key).alias("x_key"), F.col(vector).alias("x"))
     kind = rows.schema[key].dataType.simpleString()
-    # Blocks against blocks: every query meets every row once, a few thousand at a time.
-    found = q.join(x, F.lit(True)).mapInPandas(_search(k, unit), f"query_id {kind}, match_id {kind}, score double")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()
+        if not own:
+            continue
+        keys, m = np.array([r.k for r in own]), np.array([r.v for r in own], np.float64)
+        keys = keys.astype(object) if keys.dtype.kind == "U" else keys
+        part = x.mapInArrow(_search(keys, _unit(m) if unit else m, k, unit), f"query_id {kind}, match_id {kind}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], f"query_id {kind}, match_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id")
-    return found.where("query_id <> match_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def broken_vectors(rows: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.functions import text as T
+
 
 def once(df: DataFrame, key: str, *fields: str) -> DataFrame:
     """The first loaded row of each key, of ties the least by its fields."""
@@ -21,8 +23,18 @@ def sql_once(table: str, key: str, *fields: str) -> str:
 CJK = "[㐀-䶿一-鿿]"
 
 
+def sql_bare(x: str) -> str:
+    return f"translate(regexp_replace({x}, '[\\x{{300}}-\\x{{36F}}]', '', 'g'), '{T.ACCENTED}', '{T.BARE}')"
+
+
 def sql_tokens(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
+    plain = f"regexp_replace(lower(coalesce({x}, '')), '{CJK}', ' ', 'g')"
+    return f"regexp_extract_all({sql_bare(plain)}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def sql_search_form(x: str) -> str:
+    narrow = f"translate(coalesce({x}, ''), '{T.WIDE.replace(chr(39), chr(39) * 2)}', '{T.NARROW.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace(regexp_replace({sql_bare(f'lower({narrow})')}, '[‐-―]', '-', 'g'), '\\s+', ' ', 'g'))"
 
 
 def sql_grams(x: str, least: int = 1, most: int = 2) -> str:

@@ -232,8 +232,8 @@ def qual_digest(spark: SparkSession, d: str) -> DataFrame:
     return quality.corpus_digest(_docs(spark, d), ["source"], F.concat_ws("|", "doc_id", "text"))
 
 
-_SQL_DIGEST = """SELECT source, sum(n)::BIGINT AS n_rows, sha256(string_agg(b, '' ORDER BY p)) AS digest FROM (
-  SELECT source, left(h, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS b, count(*) AS n FROM (SELECT source, sha256(concat_ws('|', doc_id, text)) AS h FROM documents) GROUP BY 1, 2) GROUP BY source"""
+_SQL_DIGEST = f"""SELECT source, count(*) AS n_rows, sha256(concat_ws('|', {', '.join(f"sum(('0x' || substring(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))})) AS digest
+  FROM (SELECT source, sha256(concat_ws('|', doc_id, text)) AS h FROM documents) GROUP BY source"""
 
 
 def qual_not_done(spark: SparkSession, d: str) -> DataFrame:
@@ -265,11 +265,15 @@ TERMS = ["silver dressing", "hydrogel", "escharotomy", "scald", "VEGF", "负压
 BURN, WOUND = ["burn", "scald", "烧伤", "烫伤"], ["wound", "创面", "伤口"]
 
 
-def dict_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Terms found in each document, with the context they stand in."""
+def _scanned(spark: SparkSession, d: str, *kept: str) -> DataFrame:
     docs = _docs(spark, d).where("text is not null")
     context = F.when(F.size(T.matched_terms("text", BURN)) > 0, "burn").when(F.size(T.matched_terms("text", WOUND)) > 0, "wound").otherwise("only")
-    return docs.select("doc_id", F.explode(T.matched_terms("text", TERMS)).alias("term"), context.alias("context"))
+    return docs.select("doc_id", F.explode(T.matched_terms("text", TERMS)).alias("term"), context.alias("context"), *kept)
+
+
+def dict_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Terms found in each document, with the context they stand in."""
+    return _scanned(spark, d)
 
 
 def _pat(t: str) -> str:
@@ -282,7 +286,7 @@ _SQL_SCAN = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, {_SQL_CONTEXT} AS
 
 def dict_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Documents and sources of each term by context; terms that nothing has come with zeros."""
-    hits = dict_scan(spark, d).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    hits = _scanned(spark, d, "source")
     g = hits.groupBy("term").agg(
         F.count(F.lit(1)).alias("n_documents"), F.countDistinct("source").alias("n_sources"), F.count_if(F.col("context") == "burn").alias("n_burn"), F.count_if(F.col("context") != "only").alias("n_burn_or_wound"),
     )

@@ -218,10 +218,9 @@ def stat_enrichment(spark: SparkSession, d: str) -> DataFrame:
     of_type = population.groupBy("entity_type").agg(F.count(F.lit(1)).alias("K_"))
     hits = pairs.groupBy("predicate", "entity_type").agg(F.countDistinct("id").alias("k"))
     total = population.agg(F.count(F.lit(1)).alias("N_"))
-    most = total.first()[0]
-    tests = hits.join(F.broadcast(drawn), "predicate").join(F.broadcast(of_type), "entity_type").crossJoin(F.broadcast(total))
+    tests = hits.join(drawn, "predicate").join(of_type, "entity_type").crossJoin(F.broadcast(total))
     tests = tests.withColumn("test", F.concat_ws("|", "predicate", "entity_type"))
-    p = stats.hypergeometric_tail(tests, "test", most)
+    p = stats.hypergeometric_tail(tests, "test")
     q = stats.benjamini_hochberg(p.withColumn("p", F.round("p", 9)), "test", "p")
     return tests.select("test", "k").join(q, "test").select("test", "k", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import evaluation, fusion, lexical, vectors
-from scholium.plans.common import once, sql_grams, sql_in, sql_list, sql_once, sql_tokens
+from scholium.operators import evaluation, fusion, lexical, retrieve, vectors
+from scholium.operators.questions import compile_question, plain
+from scholium.plans.common import once, sql_grams, sql_in, sql_list, sql_once, sql_search_form, sql_tokens
 from scholium.session import read_table
 
 # Questions, with their terms and concept aliases.
@@ -34,8 +35,16 @@ def _sql_units() -> str:
 
 
 def _scores(units: DataFrame) -> DataFrame:
+    """Scores from the index of the units, which is made once for their files."""
     fields = lexical.index_fields(F.col("title"), F.col("text"), F.col("topic_tags"))
-    return lexical.bm25(units, "chunk_id", fields, {q: spec[1] for q, spec in QUESTIONS.items()})
+    index = lexical.kept_index("chunks", [units], lambda: lexical.build_index(units, "chunk_id", fields))
+    return lexical.search_index(index, {q: spec[1] for q, spec in QUESTIONS.items()})
+
+
+def ret_unkept_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks of each question by BM25 without an index: one pass that keeps the asked terms only."""
+    fields = lexical.index_fields(F.col("title"), F.col("text"), F.col("topic_tags"))
+    return lexical.ranked(lexical.bm25(_units(spark, d), "chunk_id", fields, {q: spec[1] for q, spec in QUESTIONS.items()}), "chunk_id", TOP, group=["question_id"])
 
 
 def ret_keyword_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +85,7 @@ def ret_bm25_rescored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _form(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[‐-―]', '-', 'g'), '\\s+', ' ', 'g'))"
+    return sql_search_form(x)
 
 
 def _sql_rescored() -> str:
@@ -156,48 +165,211 @@ def ret_vector_problems(spark: SparkSession, d: str) -> DataFrame:
     return vectors.broken_vectors(read_table(spark, d, "embeddings"), "vec_id", "embedding", 64)
 
 
-def _channels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of the same ids: vectors near vector 0, and documents by a keyword (id = place of the document)."""
-    near = _vector_hits(spark, d, 100).where("query_id = 0").select(F.col("match_id").alias("id"), "rank")
-    rows = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("label"))
-    other = rows.where("id <> 0").orderBy(F.desc("label"), "id").limit(100)
-    return other.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("label"), "id"))).select("id", "rank"), near
+def _question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's vector: one of the table, as there is no encoder that the vectors were made with."""
+    of = spark.createDataFrame([(q, 50 * i) for i, q in enumerate(QUESTIONS)], "unit_id string, vec_id long")
+    return read_table(spark, d, "embeddings").join(F.broadcast(of), "vec_id").select("unit_id", "embedding")
+
+
+def _with_vectors(spark: SparkSession, d: str, units: DataFrame, unit: str, number: str) -> DataFrame:
+    """Units with the vector whose place their document's number falls on."""
+    rows = read_table(spark, d, "embeddings")
+    n = rows.count()
+    return units.select(F.col(unit).alias("unit_id"), F.pmod(F.col(number).cast("long"), F.lit(n)).alias("vec_id")).join(rows.select("vec_id", "embedding"), "vec_id")
+
+
+def _vector_channel(spark: SparkSession, d: str, units: DataFrame, unit: str, number: str, k: int = 100) -> DataFrame:
+    found = vectors.top_k(_question_vectors(spark, d), _with_vectors(spark, d, units, unit, number), "unit_id", "embedding", k)
+    return found.select(F.col("query_id").alias("question_id"), F.col("match_id").alias("unit_id"), "score", "rank")
+
 
+def _keyword_channel(units: DataFrame, k: int = 100) -> DataFrame:
+    return lexical.ranked(_scores(units), "chunk_id", k, group=["question_id"]).withColumnRenamed("chunk_id", "unit_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = once(read_table(spark, d, "pages"), "page_id", "book_id", "physical_page", "text")
+    books = read_table(spark, d, "books").groupBy("book_id").agg(F.min("title").alias("title"))
+    return pages.join(books, "book_id", "left").withColumnRenamed("page_id", "unit_id")
 
-_SQL_CHANNELS = f"""near AS (SELECT match_id AS id, rank FROM ({_sql_vector(100)}) WHERE query_id = 0),
-  other AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC NULLS LAST, vec_id) AS rank FROM embeddings WHERE vec_id <> 0 QUALIFY rank <= 100)"""
-_SQL_FUSED = """fused AS (SELECT id, round(sum(s), 8) AS fusion_score, min(rank) AS best_rank FROM (
-    SELECT id, rank, 1.5e0 / (60 + rank) AS s FROM other UNION ALL SELECT id, rank, 1e0 / (60 + rank) FROM near) GROUP BY id),
-  ranked AS (SELECT id, fusion_score, best_rank, row_number() OVER (ORDER BY fusion_score DESC, best_rank, id) AS fusion_rank FROM fused)"""
 
+# Questions on the old books; the second names a book and a focus, the last one is not answered.
+PAGE_QUESTIONS = ["熱毒 治痛", "《濟囊瘡科集成》中的“熱毒”", "burn plaster with water", "股票 熱毒"]
+OUT_OF_SCOPE = ("股票", "天气")
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    other, near = _channels(spark, d)
-    return fusion.reciprocal_ranks([(other, 1.5), (near, 1.0)], "id")
+
+def _asked() -> list[tuple[str, object]]:
+    return [(f"q{i}", compile_question(q, out_of_scope=OUT_OF_SCOPE)) for i, q in enumerate(PAGE_QUESTIONS, 1)]
+
+
+def _page_keyword(pages: DataFrame, k: int = 100) -> DataFrame:
+    """Pages of each question: by its locator if it names one, by counted terms otherwise, none if it is out of scope."""
+    title, text = T.search_form("title"), T.search_form("text")
+    scored = []
+    for q, asked in _asked():
+        if not asked.in_scope:
+            continue
+        if asked.title and asked.focus:
+            scored.append(retrieve.located(pages, q, title, text, plain(asked.title), [plain(asked.focus)]))
+            continue
+        hits = lexical.counted_terms(pages, "unit_id", F.col("title"), F.col("text"), asked.terms, asked.text, asked.aliases)
+        scored.append(hits.select(F.lit(q).alias("question_id"), "unit_id", F.col("score").cast("double").alias("score")))
+    return retrieve.best(reduce(DataFrame.unionByName, scored), k, F.desc("score"), "unit_id")
+
+
+def ret_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The best pages of questions on old books: counted terms, a locator, and a refusal."""
+    return _page_keyword(_pages(spark, d), 20)
 
 
 def ret_rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings fused by reciprocal ranks."""
-    return _fused(spark, d)
+    """Keyword and vector channel of the chunks fused by reciprocal ranks, per question."""
+    units = _units(spark, d)
+    fused = retrieve.fuse(_keyword_channel(units), _vector_channel(spark, d, units, "chunk_id", "doc_id"), 100)
+    return fused.select("question_id", F.col("unit_id").alias("chunk_id"), F.round("fusion_score", 8).alias("fusion_score"), "keyword_rank", "vector_rank", F.col("rank").alias("fusion_rank"))
+
+
+def _groups(units: DataFrame, unit: str, group: str) -> DataFrame:
+    return units.select(F.col(unit).alias("unit_id"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group_id"))
 
 
 def ret_diversified(spark: SparkSession, d: str) -> DataFrame:
-    """The fused ranking with at most three of a label."""
-    labels = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    ranked = _fused(spark, d).join(labels, "id")
-    return fusion.diversified(ranked, ["label"], "fusion_rank", 3, 20).select("id", "label", "fusion_rank", "new_rank")
+    """The fused ranking with at most three chunks of a document."""
+    units = _units(spark, d)
+    return retrieve.search("hybrid", 20, _groups(units, "chunk_id", "doc_id"), _keyword_channel(units), {"first": _vector_channel(spark, d, units, "chunk_id", "doc_id")})
+
+
+def _overlaps(units: DataFrame, unit: str, chosen: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """The stand-in for a cross-encoder: the share of the question's terms that a unit has."""
+    both = F.concat(T.tokens(F.concat_ws("\n", "title", "text")), T.char_ngrams(F.concat_ws("\n", "title", "text")))
+    texts = units.select(F.col(unit).alias("unit_id"), "title", "text").join(chosen.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", both.alias("both"))
+    share = F.lit(0.0)
+    for q, t in terms.items():
+        if t:
+            share = F.when(F.col("question_id") == q, fusion.overlap_score(t, F.col("both"))).otherwise(share)
+    return chosen.select("question_id", "unit_id").join(texts, "unit_id").select("question_id", "unit_id", F.round(share, 6).alias("rerank"))
+
+
+def ret_reranked_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Fused, spread over documents, reranked by shared terms, spread again."""
+    units = _units(spark, d)
+    keyword, vector = _keyword_channel(units), _vector_channel(spark, d, units, "chunk_id", "doc_id")
+    scores = _overlaps(units, "chunk_id", retrieve.fuse(keyword, vector, 100), {q: spec[1] for q, spec in QUESTIONS.items()})
+    return retrieve.search("reranked_hybrid", TOP, _groups(units, "chunk_id", "doc_id"), keyword, {"second": vector}, scores)
+
+
+def _page_channels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    pages = _pages(spark, d)
+    keyword = _page_keyword(pages)
+    vector = _vector_channel(spark, d, pages, "unit_id", "physical_page")
+    # A question that names a page, or is out of scope, has no neighbours but these.
+    direct = [q for q, asked in _asked() if not asked.in_scope or (asked.title and asked.focus)]
+    answered = [q for q, asked in _asked() if asked.in_scope]
+    vector = vector.where(F.col("question_id").isin(answered) & ~F.col("question_id").isin(direct))
+    named = keyword.where(F.col("question_id").isin(direct)).select("question_id", "unit_id", "score", "rank")
+    return pages, keyword, vector.unionByName(named), _groups(pages, "unit_id", "book_id")
 
 
 def ret_guarded(spark: SparkSession, d: str) -> DataFrame:
-    """The fused ranking with the five best of the first channel's top ten kept in front."""
-    other, _ = _channels(spark, d)
-    return fusion.guarded(_fused(spark, d), other.where("rank <= 10"), "id", "fusion_rank", 5, 20).select("id", "fusion_rank", "guarded_rank")
+    """Pages fused, reranked and guarded: the keyword channel's best ten are kept in front."""
+    pages, keyword, vector, group = _page_channels(spark, d)
+    every = keyword.select("question_id", "unit_id").unionByName(vector.select("question_id", "unit_id")).distinct()
+    scores = _overlaps(pages, "unit_id", every, {q: asked.terms for q, asked in _asked()})
+    return retrieve.search_pages("third_reranked_hybrid", TOP, group, keyword, vector, scores)
 
 
 def ret_two_corpora(spark: SparkSession, d: str) -> DataFrame:
-    """Both channels as two corpora, one list with at least one of the second."""
-    other, near = _channels(spark, d)
-    return fusion.two_corpora(other.where("rank <= 30"), near.where("rank <= 30"), "id", 20)
+    """Keyword results of chunks and pages as one list, with at least one of the pages."""
+    units, pages = _units(spark, d), _pages(spark, d)
+    n = retrieve.candidates(TOP)
+    modern = retrieve.search("keyword", n, _groups(units, "chunk_id", "doc_id"), _keyword_channel(units), {})
+    group = _groups(units, "chunk_id", "doc_id").unionByName(_groups(pages, "unit_id", "book_id"))
+    return retrieve.both_corpora(modern, _page_keyword(pages, n), group, TOP)
+
+
+_SQL_UNIT_VECTORS = "qv AS (SELECT 'q' || (vec_id // 50 + 1) AS question_id, v FROM {u} WHERE vec_id IN (0, 50, 100, 150, 200)), nv AS (SELECT count(*) AS n FROM embeddings)"
+
+
+def _sql_vector_channel(table: str, unit: str, number: str) -> str:
+    return f"""SELECT * FROM (SELECT question_id, {unit} AS unit_id, round(list_dot_product(qv.v, x.v), 6) AS score,
+      row_number() OVER (PARTITION BY question_id ORDER BY round(list_dot_product(qv.v, x.v), 6) DESC, {unit}) AS rank
+      FROM {table} t, nv, {_SQL_UNIT} x, qv WHERE x.vec_id = t.{number} % nv.n) WHERE rank <= 100"""
+
+
+def _sql_channels() -> str:
+    return f"""{_sql_scored()}, {_SQL_UNIT_VECTORS.format(u=_SQL_UNIT)},
+      kw AS (SELECT * FROM (SELECT question_id, chunk_id AS unit_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 100),
+      ve AS ({_sql_vector_channel('units', 'chunk_id', 'doc_id')})"""
+
+
+def _sql_fuse(kw: str, ve: str, k: int, w: float = 1.5) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fusion_score DESC, least(keyword_rank, vector_rank), unit_id) AS rank
+      FROM (SELECT question_id, unit_id, round(sum(s), 10) AS fusion_score, min(kr) AS keyword_rank, min(vr) AS vector_rank FROM (
+        SELECT question_id, unit_id, {w}::DOUBLE / (60 + rank) AS s, rank AS kr, NULL AS vr FROM {kw} UNION ALL SELECT question_id, unit_id, 1e0 / (60 + rank), NULL, rank FROM {ve}) GROUP BY 1, 2)) WHERE rank <= {k}"""
+
+
+def _sql_spread(table: str, k: int, groups: str = "group_id", cap: int = 3) -> str:
+    return f"""SELECT * EXCLUDE (rank, n_), row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank FROM
+      (SELECT *, row_number() OVER (PARTITION BY question_id, {groups} ORDER BY rank) AS n_ FROM {table}) WHERE n_ <= {cap} QUALIFY rank <= {k}""".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank)")
+
+
+_SQL_OF_UNIT = "(SELECT chunk_id AS unit_id, coalesce(doc_id::VARCHAR, '') AS group_id, title, text FROM units)"
+_SQL_PAGES = f"pg AS MATERIALIZED (SELECT page_id AS unit_id, coalesce(book_id, '') AS group_id, physical_page, text, title FROM {sql_once('pages', 'page_id', 'book_id', 'physical_page', 'text')} LEFT JOIN (SELECT book_id, min(title) AS title FROM books GROUP BY 1) USING (book_id))"
+
+
+def _sql_page_keyword(k: int) -> str:
+    occ = lambda x, t: f"((length({x}) - length(replace({x}, '{t}', ''))) // {len(t)})"
+    parts = []
+    for q, asked in _asked():
+        if not asked.in_scope:
+            continue
+        if asked.title and asked.focus:
+            t, f = plain(asked.title), plain(asked.focus)
+            parts.append(f"SELECT '{q}' AS question_id, unit_id, 100e0 + {occ('x_', f)} AS score FROM pf WHERE (contains(t_, '{t}') OR (t_ <> '' AND contains('{t}', t_))) AND contains(x_, '{f}')")
+            continue
+        score = " + ".join(occ("both_", t) for t in asked.terms)
+        parts.append(f"SELECT '{q}' AS question_id, unit_id, ({score} + 4 * contains(both_, '{asked.text.lower()}')::INT)::DOUBLE AS score FROM pf WHERE {score} + 4 * contains(both_, '{asked.text.lower()}')::INT > 0")
+    return f"""pf AS (SELECT unit_id, {sql_search_form('title')} AS t_, {sql_search_form('text')} AS x_, lower(coalesce(title, '')) || chr(10) || lower(coalesce(text, '')) AS both_ FROM pg),
+      pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS rank FROM ({' UNION ALL '.join(parts)})) WHERE rank <= {k})"""
+
+
+def _sql_overlap(table: str, texts: str, terms: dict[str, list[str]]) -> str:
+    x = "concat_ws(chr(10), title, text)"
+    cases = " ".join(f"WHEN question_id = '{q}' THEN len(list_intersect({sql_tokens(x)} || {sql_grams(x)}, {sql_list(dict.fromkeys(t))})) / {len(dict.fromkeys(t))}.0::DOUBLE" for q, t in terms.items() if t)
+    return f"SELECT question_id, unit_id, round(CASE {cases} ELSE 0 END, 6) AS rerank FROM {table} JOIN {texts} USING (unit_id)"
+
+
+def _sql_reranked_hybrid() -> str:
+    return f"""WITH {_sql_channels()}, fu AS ({_sql_fuse('kw', 've', 100)}), fg AS (SELECT f.*, group_id FROM fu f JOIN {_SQL_OF_UNIT} USING (unit_id)),
+      ch AS ({_sql_spread('fg', 100)}), sc AS ({_sql_overlap('fu', _SQL_OF_UNIT, {q: s[1] for q, s in QUESTIONS.items()})}),
+      rr AS (SELECT question_id, unit_id, group_id, row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, fusion_score DESC, unit_id) AS rank FROM ch JOIN sc USING (question_id, unit_id))
+      SELECT question_id, unit_id, rank FROM ({_sql_spread('rr', TOP)})"""
+
+
+def _sql_guarded() -> str:
+    direct = [q for q, asked in _asked() if not asked.in_scope or (asked.title and asked.focus)]
+    answered = [q for q, asked in _asked() if asked.in_scope and not (asked.title and asked.focus)]
+    return f"""WITH {_SQL_PAGES}, {_sql_page_keyword(100)}, {_SQL_UNIT_VECTORS.format(u=_SQL_UNIT)},
+      pv AS (SELECT question_id, unit_id, rank FROM ({_sql_vector_channel('pg', 'unit_id', 'physical_page')}) WHERE question_id IN {sql_in(answered)} UNION ALL SELECT question_id, unit_id, rank FROM pk WHERE question_id IN {sql_in(direct)}),
+      fu AS ({_sql_fuse('pk', 'pv', 100)}), fg AS (SELECT f.*, group_id FROM fu f JOIN pg USING (unit_id)), ch AS ({_sql_spread('fg', 100)}),
+      al AS (SELECT question_id, unit_id, fusion_score FROM ch UNION ALL SELECT question_id, unit_id, NULL FROM pk WHERE rank <= {TOP} AND (question_id, unit_id) NOT IN (SELECT question_id, unit_id FROM ch)),
+      sc AS ({_sql_overlap('al', 'pg', {q: asked.terms for q, asked in _asked()})}),
+      rr AS (SELECT question_id, unit_id, row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, coalesce(fusion_score, 0) DESC, unit_id) AS r FROM al JOIN sc USING (question_id, unit_id)),
+      gd AS (SELECT rr.*, pk.unit_id IS NOT NULL AS p FROM rr LEFT JOIN (SELECT * FROM pk WHERE rank <= {TOP}) pk USING (question_id, unit_id))
+      SELECT question_id, unit_id, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, r) AS rank FROM gd QUALIFY rank <= {TOP}"""
+
+
+def _sql_two_corpora() -> str:
+    n = retrieve.candidates(TOP)
+    return f"""WITH {_sql_scored()}, {_SQL_PAGES}, {_sql_page_keyword(n)},
+      kw AS (SELECT * FROM (SELECT question_id, chunk_id AS unit_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 100),
+      kg AS (SELECT k.*, group_id FROM kw k JOIN {_SQL_OF_UNIT} USING (unit_id)), mo AS ({_sql_spread('kg', n)}),
+      fu AS ({_sql_fuse('mo', 'pk', 2 * n, 1.0)}), gr AS (SELECT unit_id, group_id FROM {_SQL_OF_UNIT} UNION ALL SELECT unit_id, group_id FROM pg),
+      fg AS (SELECT f.*, CASE WHEN vector_rank IS NULL THEN 'modern' ELSE 'ancient' END AS corpus, group_id FROM fu f JOIN gr USING (unit_id)),
+      ch AS (SELECT question_id, unit_id, corpus, rank FROM ({_sql_spread('fg', TOP, 'corpus, group_id')})),
+      lo AS (SELECT question_id, unit_id FROM pk WHERE rank = 1 AND question_id NOT IN (SELECT question_id FROM ch WHERE corpus = 'ancient')),
+      la AS (SELECT lo.*, 'ancient' AS corpus, coalesce((SELECT least(count(*) + 1, {TOP}) FROM ch WHERE ch.question_id = lo.question_id), 1) AS rank FROM lo)
+      SELECT ch.* FROM ch LEFT JOIN la ON la.question_id = ch.question_id WHERE la.rank IS NULL OR ch.rank < la.rank UNION ALL SELECT * FROM la"""
 
 
 def ret_reranked(spark: SparkSession, d: str) -> DataFrame:
@@ -262,8 +434,8 @@ def _sql_eval() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        ret_keyword_bm25, ret_bm25_rescored, ret_boolean_groups, ret_phrases, ret_counted_terms, ret_vector_topk, ret_vector_problems, ret_rrf_hybrid,
-        ret_diversified, ret_guarded, ret_two_corpora, ret_reranked, ret_snippets, ret_point_lookup, eval_retrieval,
+        ret_keyword_bm25, ret_unkept_bm25, ret_bm25_rescored, ret_boolean_groups, ret_phrases, ret_counted_terms, ret_vector_topk, ret_vector_problems, ret_rrf_hybrid,
+        ret_diversified, ret_guarded, ret_two_corpora, ret_reranked, ret_reranked_hybrid, ret_pages, ret_snippets, ret_point_lookup, eval_retrieval,
     )
 }
 _TOKENS = sql_tokens("concat_ws(chr(10), title, text)")
@@ -281,17 +453,13 @@ SQL = {
       WHEN list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'not_finite' ELSE 'zero' END AS problem
       FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))
         OR sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) < 1e-8""",
-    "ret_rrf_hybrid": f"WITH {_SQL_CHANNELS}, {_SQL_FUSED} SELECT * FROM ranked",
-    "ret_diversified": f"""WITH {_SQL_CHANNELS}, {_SQL_FUSED}, k AS (SELECT id, label, fusion_rank FROM ranked JOIN embeddings ON id = vec_id QUALIFY row_number() OVER (PARTITION BY label ORDER BY fusion_rank) <= 3)
-      SELECT id, label, fusion_rank, row_number() OVER (ORDER BY fusion_rank) AS new_rank FROM k QUALIFY new_rank <= 20""",
-    "ret_guarded": f"""WITH {_SQL_CHANNELS}, {_SQL_FUSED}, m AS (SELECT r.*, o.id IS NOT NULL AS p FROM ranked r LEFT JOIN (SELECT id FROM other WHERE rank <= 10) o USING (id)),
-      f AS (SELECT id, fusion_rank, CASE WHEN p AND row_number() OVER (PARTITION BY p ORDER BY fusion_rank) <= 5 THEN 0 ELSE 1 END AS f FROM m)
-      SELECT id, fusion_rank, row_number() OVER (ORDER BY f, fusion_rank) AS guarded_rank FROM f QUALIFY guarded_rank <= 20""",
-    "ret_two_corpora": f"""WITH {_SQL_CHANNELS}, e AS (SELECT id, 'modern' AS corpus, rank FROM other WHERE rank <= 30 UNION ALL SELECT id, 'ancient', rank FROM near WHERE rank <= 30),
-      p AS (SELECT id, corpus, 1e0 / (60 + rank) AS score, row_number() OVER (ORDER BY 1e0 / (60 + rank) DESC, corpus, id) AS place FROM e),
-      b AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY place) AS b FROM p),
-      t AS (SELECT count(*) FILTER (corpus = 'ancient' AND place <= 20) AS n2, count(*) FILTER (corpus = 'ancient') AS n FROM b)
-      SELECT id, corpus, round(score, 8) AS score, least(place, 20) AS place FROM b, t WHERE place <= CASE WHEN n2 = 0 AND n > 0 THEN 19 ELSE 20 END OR (corpus = 'ancient' AND b = 1 AND n2 = 0)""",
+    "ret_unkept_bm25": f"WITH {_sql_scored()} {_RANKED}",
+    "ret_rrf_hybrid": f"WITH {_sql_channels()} SELECT question_id, unit_id AS chunk_id, round(fusion_score, 8) AS fusion_score, keyword_rank, vector_rank, rank AS fusion_rank FROM ({_sql_fuse('kw', 've', 100)})",
+    "ret_diversified": f"WITH {_sql_channels()}, fu AS ({_sql_fuse('kw', 've', 100)}), fg AS (SELECT f.*, group_id FROM fu f JOIN {_SQL_OF_UNIT} USING (unit_id)) SELECT question_id, unit_id, rank FROM ({_sql_spread('fg', 20)})",
+    "ret_guarded": _sql_guarded(),
+    "ret_two_corpora": _sql_two_corpora(),
+    "ret_reranked_hybrid": _sql_reranked_hybrid(),
+    "ret_pages": f"WITH {_SQL_PAGES}, {_sql_page_keyword(20)} SELECT question_id, unit_id, score, rank FROM pk",
     "ret_reranked": _sql_reranked(),
     "ret_snippets": _SQL_SNIPPET,
     "ret_point_lookup": f"SELECT page_id, book_id, physical_page, length(text) AS n_chars FROM {sql_once('(SELECT * FROM pages WHERE physical_page = 7)', 'page_id', 'book_id', 'physical_page', 'text')}",

@@ -128,9 +128,15 @@ def test_ids(spark):
 
 def test_statistics(spark):
     tests = spark.createDataFrame([("a", 3, 5, 6, 20), ("b", 0, 5, 6, 20), ("c", 6, 5, 6, 20)], "t string, k long, n long, K_ long, N_ long")
-    got = {r.t: r.p for r in stats.hypergeometric_tail(tests, "t", 20).collect()}
+    got = {r.t: r.p for r in stats.hypergeometric_tail(tests, "t").collect()}
     want = sum(math.comb(6, i) * math.comb(14, 5 - i) for i in range(3, 6)) / math.comb(20, 5)
     assert abs(got["a"] - want) < 1e-9 and got["b"] == 1.0 and got["c"] == 0.0
+    cases = [(k, n, big, pop) for pop, big, n in ((1000, 300, 100), (5000, 40, 2500), (60, 60, 10), (400, 5, 399), (30_000, 9_000, 6_000)) for k in (0, 1, 4, 10, 29, 30, 31, 45, 1700, 1800, 1900)]
+    long = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "t int, k long, n long, K_ long, N_ long")
+    got = {r.t: r.p for r in stats.hypergeometric_tail(long, "t").collect()}
+    for i, (k, n, big, pop) in enumerate(cases):
+        top = sum(math.comb(big, j) * math.comb(pop - big, n - j) for j in range(max(k, n - (pop - big), 0), min(big, n) + 1))
+        assert abs(got[i] - top / math.comb(pop, n)) < 1e-9, cases[i]
     q = {r.t: r.q for r in stats.benjamini_hochberg(spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.9)], "t string, p double"), "t", "p").collect()}
     assert [round(q[k], 6) for k in "abc"] == [0.03, 0.03, 0.9]
     with pytest.raises(ValueError):
@@ -144,6 +150,8 @@ def test_sequences_and_quality(spark):
     one = quality.corpus_digest(df, ["g"], F.col("s").cast("string")).orderBy("g").collect()
     two = quality.corpus_digest(df.orderBy(F.desc("s")), ["g"], F.col("s").cast("string")).orderBy("g").collect()
     assert one == two
+    twice = quality.corpus_digest(df.unionByName(df.limit(1)), ["g"], F.col("s").cast("string")).orderBy("g").collect()
+    assert [a.digest == b.digest for a, b in zip(one, twice)] == [False, True]
 
 
 def test_fusion_guarantees_second_corpus(spark):
