@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.functions import text as T
+
 # Syntax of digital object identifiers and the prefixes with a known form.
 DOI = r"^10\.\d{4,9}/[-._;()/:a-z0-9]+$"
 
@@ -66,6 +68,42 @@ def digest(namespace: str, body: Column) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(namespace + "\n"), body), 256), 1, 24)
 
 
+def source_id(source_type: Column | str, title: Column | str, file_sha256: Column | str, doi: Column | str, work: Column | str, edition: Column | str) -> Column:
+    parts = {"source_type": source_type, "title": title, "file_sha256": file_sha256, "doi": doi, "work_id": work, "edition_id": edition}
+    return F.concat(F.lit("kg:source:"), digest("source", canonical_json(**{k: T.graph_key(v) for k, v in parts.items()})))
+
+
+def node_id(entity_type: Column | str, name: Column | str, namespace: str = "graph", **identity: Column) -> Column:
+    """Of a type, a name and whatever else tells nodes of one name apart (a composition's fingerprint, a place)."""
+    kind = _c(entity_type)
+    body = canonical_json(entity_type=kind, namespace=T.graph_key(F.lit(namespace)), canonical_name=T.graph_key(name), **identity)
+    return F.concat(F.lit("kg:"), F.lower(kind), F.lit(":"), F.substring(F.sha2(F.concat(F.lit("node:"), kind, F.lit("\n"), body), 256), 1, 24))
+
+
+def evidence_id(source: Column | str, locator: Column | str, quote_sha256: Column | str) -> Column:
+    """``locator`` is an object's text and is taken as it stands, so it must be canonical."""
+    body = F.concat(F.lit('{"locator":'), F.coalesce(_c(locator), F.lit("{}")), F.lit(","), F.substring(canonical_json(quote_sha256=_c(quote_sha256), source_id=_c(source)), 2, 1 << 30))
+    return F.concat(F.lit("kg:evidence:"), digest("evidence", body))
+
+
+def edge_id(subject: Column | str, predicate: Column | str, object_: Column | str, evidence: Column | str, mode: Column | str) -> Column:
+    """The order and repetition of the evidence do not count."""
+    parts = {"subject_id": _c(subject), "predicate": _c(predicate), "object_id": _c(object_), "assertion_mode": _c(mode)}
+    return F.concat(F.lit("kg:assertion:"), digest("edge", canonical_json(evidence_ids=F.array_sort(F.array_distinct(_c(evidence))), **parts)))
+
+
+def normalized_composition(items: Column) -> Column:
+    """An array of ingredients (name, value, unit, processing, role) with its texts in one form, in order."""
+    fields = ("name", "value", "unit", "processing", "role")
+    return F.array_sort(F.transform(items, lambda x: F.struct(*[T.graph_key(x[f].cast("string")).alias(f) for f in fields])))
+
+
+def folder_fingerprint(files: DataFrame, path: str, sha256: str) -> DataFrame:
+    """``fingerprint`` of a folder's files (paths and hashes) in the order of their paths; a folder has few files."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(sha256).alias("h"))))
+    return files.agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(F.length(x["p"]).cast("string"), F.lit(":"), x["p"], F.lit(":"), x["h"])), "\n"), 256).alias("fingerprint"))
+
+
 def composition_fingerprint(items: Column) -> Column:
     """Hash of an array of structs as a multiset: the order does not count."""
     return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: F.to_json(x))), "\n"), 256)

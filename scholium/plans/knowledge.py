@@ -9,7 +9,7 @@ from scholium.operators import graph as G
 from scholium.operators import sequences, stats
 from scholium.operators.components import connected_components
 from scholium.plans.common import sql_in
-from scholium.session import read_table
+from scholium.session import durable, read_table
 
 _SRC = "source_id, source_type, title, file_sha256"
 # Columns of each table in the order in which the last row is chosen.
@@ -25,6 +25,11 @@ def _graph(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {n: G.current(read_table(spark, d, t).select(k, "loaded_at", *cols), k) for n, (t, k, cols) in _COLS.items()}
 
 
+def _kept(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The same, each table written once: for queries that read one several times."""
+    return {n: durable(df) for n, df in _graph(spark, d).items()}
+
+
 def _sql_current(name: str) -> str:
     t, k, cols = _COLS[name]
     order = ", ".join(f"{c} DESC NULLS LAST" for c in ("loaded_at", *cols))
@@ -37,7 +42,7 @@ _WITH = ", ".join(f"{n[0] if n != 'edges' else 'g'} AS MATERIALIZED {_sql_curren
 
 def graph_issues(spark: SparkSession, d: str) -> DataFrame:
     """Every broken integrity rule of the graph as it stands."""
-    return G.validate(**_graph(spark, d))
+    return G.validate(**_kept(spark, d))
 
 
 _GRADE = "list_position(['E1','E2','E3','E4','E5'], {})"
@@ -69,7 +74,7 @@ _SQL_ISSUES = f"""WITH {_WITH},
 
 def graph_issue_counts(spark: SparkSession, d: str) -> DataFrame:
     """How often each integrity rule is broken."""
-    return G.validate(**_graph(spark, d)).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+    return G.validate(**_kept(spark, d)).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def graph_traceability(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +84,8 @@ def graph_traceability(spark: SparkSession, d: str) -> DataFrame:
     return g["edges"].join(t, "edge_id").groupBy("predicate").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.avg(F.col("traceable").cast("double")), 6).alias("traceable_share"))
 
 
-_SQL_TRACE = f"""WITH {_WITH}, ok AS (SELECT DISTINCT lower(trim(evidence_id)) AS id FROM e WHERE lower(trim(source_id)) IN (SELECT lower(trim(source_id)) FROM s)),
+_SQL_TRACE = f"""WITH {_WITH}, ok AS (SELECT DISTINCT lower(trim(evidence_id)) AS id FROM e WHERE lower(trim(source_id)) IN (SELECT lower(trim(source_id)) FROM s)
+    AND trim(coalesce(locator, '')) NOT IN ('', '{{}}', 'null') AND (coalesce(quote, '') = '' OR quote_sha256 = sha256(quote))),
   c AS (SELECT edge_id, predicate, lower(trim(unnest(CASE WHEN len(evidence_ids) > 0 THEN evidence_ids ELSE [NULL] END))) AS id FROM g),
   t AS (SELECT edge_id, predicate, bool_and(ok.id IS NOT NULL) AS t FROM c LEFT JOIN ok USING (id) GROUP BY 1, 2)
   SELECT predicate, count(*) AS n_edges, round(avg(t::INT::DOUBLE), 6) AS traceable_share FROM t GROUP BY predicate"""
@@ -101,6 +107,109 @@ _SQL_PROMOTED = f"""WITH {_WITH}, kept AS (SELECT * FROM e WHERE coalesce({_STAT
   UNION ALL SELECT 'sources', count(*) FROM s WHERE lower(trim(source_id)) IN (SELECT lower(trim(source_id)) FROM pv WHERE source_id IS NOT NULL)"""
 
 
+# The schema of the evidence graph.
+SCHEMA = G.Schema(
+    {"Passage": "L1", "Disease": "L2", "Syndrome": "L2", "BurnStage": "L2", "TreatmentMethod": "L3", "FormulaVariant": "L4", "FormulaConcept": "L4", "Herb": "L5", "Compound": "EXT", "Target": "EXT"},
+    {
+        "RECORDED_IN": ([], ["Passage"], [], ["explicit"], False),
+        "HAS_TREATMENT_METHOD": (["Disease", "Syndrome", "BurnStage"], ["TreatmentMethod"], [], [], False),
+        "REPRESENTATIVE_FORMULA": (["TreatmentMethod"], ["FormulaVariant", "FormulaConcept"], [], [], False),
+        "HAS_INGREDIENT": (["FormulaVariant", "FormulaConcept"], ["Herb"], ["E1", "E2", "E3"], [], False),
+        "VARIANT_OF": (["FormulaVariant"], ["FormulaConcept"], [], [], False),
+        "MENTIONS": ([], [], [], [], False), "SAME_AS": ([], [], [], [], True), "BROADER_THAN": ([], [], [], ["explicit", "inferred"], True),
+    },
+)
+
+
+def graph_schema_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What the schema does not allow in the graph as it stands, as a release."""
+    g = _kept(spark, d)
+    return G.schema_issues(SCHEMA, g["nodes"], g["evidence"], g["edges"], release=True)
+
+
+def _sql_schema() -> str:
+    kinds = f"CASE entity_type {' '.join(f'WHEN {chr(39)}{t}{chr(39)} THEN {chr(39)}{x}{chr(39)}' for t, x in SCHEMA.layers.items())} END"
+    parts = [
+        f"SELECT node_id AS record_id, 'unknown_entity_type' AS code FROM n WHERE {kinds} IS NULL",
+        f"SELECT node_id, 'node_layer_mismatch' FROM n WHERE {kinds} IS NOT NULL AND layer IS DISTINCT FROM {kinds}",
+        "SELECT evidence_id, 'e1_page_locator_missing' FROM e WHERE evidence_grade = 'E1' AND json_extract_string(try_cast(locator AS JSON), '$.pdf_page') IS NULL AND json_extract_string(try_cast(locator AS JSON), '$.page_id') IS NULL",
+        f"SELECT evidence_id, 'direct_ancient_grade_invalid' FROM e WHERE evidence_class = 'direct_ancient' AND (evidence_grade IS NULL OR evidence_grade NOT IN {sql_in(SCHEMA.direct_grades)})",
+        f"SELECT evidence_id, 'evidence_not_approved' FROM e WHERE coalesce({_STATUS}, '') <> 'approved'",
+        f"SELECT edge_id, 'unknown_predicate' FROM t WHERE predicate IS NULL OR predicate NOT IN {sql_in(SCHEMA.predicates)}",
+        "SELECT edge_id, 'edge_not_approved' FROM t WHERE review_status IS DISTINCT FROM 'approved'",
+    ]
+    codes = ("predicate_source_type_invalid", "predicate_target_type_invalid", "predicate_grade_invalid", "predicate_mode_invalid")
+    for p, (*allowed, same) in SCHEMA.predicates.items():
+        parts += [f"SELECT edge_id, '{code}' FROM t WHERE predicate = '{p}' AND {c} NOT IN {sql_in(a)}" for code, c, a in zip(codes, ("st", "ot", "evidence_grade", "assertion_mode"), allowed) if a]
+        if same:
+            parts.append(f"SELECT edge_id, 'predicate_same_type_required' FROM t WHERE predicate = '{p}' AND st <> ot")
+    return f"""WITH {_WITH}, k AS (SELECT lower(trim(node_id)) AS id, min(entity_type) AS type FROM n GROUP BY 1),
+      t AS (SELECT g.*, ks.type AS st, ko.type AS ot FROM g LEFT JOIN k ks ON ks.id = lower(trim(subject_id)) LEFT JOIN k ko ON ko.id = lower(trim(object_id)))
+      SELECT record_id, 'error' AS severity, code FROM ({' UNION ALL '.join(parts)})"""
+
+
+def graph_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the graph may be released: shares of traceable edges and of approved records against their least."""
+    g = _graph(spark, d)
+    t = G.traceable(g["edges"], g["evidence"], g["sources"])
+    m = g["edges"].join(t, "edge_id").agg(F.avg(F.col("traceable").cast("double")).alias("traceable"), F.avg(F.coalesce(F.col("review_status") == "approved", F.lit(False)).cast("double")).alias("approved"))
+    return G.release_gate(m, {"traceable": 1.0, "approved": 0.5})
+
+
+def graph_rekeyed(spark: SparkSession, d: str) -> DataFrame:
+    """Confident edges with the evidence that is not rejected, and the ids that follow from it."""
+    g = _graph(spark, d)
+    kept = g["evidence"].where(F.coalesce(F.get_json_object("review", "$.status"), F.lit("pending")) != "rejected")
+    return G.rekeyed(g["edges"].where("confidence between 0.7 and 1"), kept).select("edge_id", "old_edge_id", F.array_join("evidence_ids", ",").alias("evidence"))
+
+
+_SQL_REKEYED = f"""WITH {_WITH}, c AS (SELECT edge_id, list_sort(list(DISTINCT id)) AS ids FROM (SELECT edge_id, lower(trim(unnest(evidence_ids))) AS id FROM g WHERE confidence BETWEEN 0.7 AND 1)
+    WHERE id IN (SELECT lower(trim(evidence_id)) FROM e WHERE coalesce({_STATUS}, 'pending') <> 'rejected') GROUP BY 1)
+  SELECT 'kg:assertion:' || left(sha256('edge' || chr(10) || '{{"assertion_mode":' || coalesce(to_json(assertion_mode)::VARCHAR, 'null') || ',"evidence_ids":' || to_json(ids)::VARCHAR || ',"object_id":' || coalesce(to_json(lower(trim(object_id)))::VARCHAR, 'null') || ',"predicate":' || coalesce(to_json(predicate)::VARCHAR, 'null') || ',"subject_id":' || coalesce(to_json(lower(trim(subject_id)))::VARCHAR, 'null') || '}}'), 24) AS edge_id,
+    edge_id AS old_edge_id, array_to_string(ids, ',') AS evidence FROM g JOIN c USING (edge_id)"""
+
+
+def graph_collected(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts that several variants belong to, with these."""
+    g = _graph(spark, d)
+    return G.collected(g["edges"], g["nodes"], "VARIANT_OF")
+
+
+_SQL_NAMES = "nm AS (SELECT lower(trim(node_id)) AS id, min(canonical_name) AS name FROM n GROUP BY 1)"
+_SQL_COLLECTED = f"""WITH {_WITH}, {_SQL_NAMES}, l AS (SELECT DISTINCT lower(trim(subject_id)) AS a, lower(trim(object_id)) AS b FROM g WHERE predicate = 'VARIANT_OF'),
+  m AS (SELECT b, list_sort(list(DISTINCT a || '=' || coalesce(name, ''))) AS m FROM l JOIN nm ON nm.id = a GROUP BY b)
+  SELECT b AS object_id, name, len(m)::INT AS n, array_to_string(m, ',') AS members FROM m JOIN nm ON nm.id = b WHERE len(m) >= 2"""
+
+
+def graph_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge's statement with its evidence and source."""
+    g = _graph(spark, d)
+    return G.assertions(g["edges"], g["nodes"], g["evidence"], g["sources"])
+
+
+_SQL_ASSERTIONS = f"""WITH {_WITH}, {_SQL_NAMES}, c AS (SELECT DISTINCT edge_id, predicate, s, o, lower(trim(x)) AS ev FROM (SELECT edge_id, predicate, lower(trim(subject_id)) AS s, lower(trim(object_id)) AS o, unnest(evidence_ids) AS x FROM g))
+  SELECT edge_id, predicate, a.name AS subject, b.name AS object, ev AS evidence_id, e.evidence_grade, e.locator, e.quote, s.title, s.file_sha256
+  FROM c JOIN nm a ON a.id = c.s JOIN nm b ON b.id = c.o JOIN e ON lower(trim(e.evidence_id)) = ev JOIN s ON lower(trim(s.source_id)) = lower(trim(e.source_id))"""
+
+TREATMENT = ["<RECORDED_IN", "HAS_TREATMENT_METHOD", "REPRESENTATIVE_FORMULA", "HAS_INGREDIENT"]
+
+
+def graph_treatment_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Chains from a passage over what it records to methods, formulas and herbs, by the entity types they pass."""
+    g = _graph(spark, d)
+    return G.paths(g["edges"], g["nodes"], TREATMENT)
+
+
+def _sql_paths(steps: list[str]) -> str:
+    n = len(steps)
+    ends = [("b", "a") if s.startswith("<") else ("a", "b") for s in steps]
+    joins = "".join(f" JOIN p p{i} ON p{i}.{ends[i][0]} = p{i - 1}.{ends[i - 1][1]} AND p{i}.predicate = '{steps[i].lstrip('<')}'" for i in range(1, n))
+    at = [f"p0.{ends[0][0]}", *[f"p{i}.{ends[i][1]}" for i in range(n)]]
+    kinds = "".join(f" JOIN k k{i} ON k{i}.id = {x}" for i, x in enumerate(at))
+    return f"""WITH {_WITH}, k AS (SELECT DISTINCT lower(trim(node_id)) AS id, entity_type AS t FROM n), p AS (SELECT predicate, lower(trim(subject_id)) AS a, lower(trim(object_id)) AS b FROM g)
+      SELECT concat_ws('>', {', '.join(f'k{i}.t' for i in range(n + 1))}) AS types, count(*) AS n_paths FROM (SELECT * FROM p WHERE predicate = '{steps[0].lstrip('<')}') p0{joins}{kinds} GROUP BY 1"""
+
+
 def graph_union(spark: SparkSession, d: str) -> DataFrame:
     """Edges of two loads (odd and even months) as one: keys whose content differs between rows are conflicts."""
     edges = read_table(spark, d, "graph_edges").where("edge_id is not null")
@@ -296,6 +405,13 @@ SQL = {
     "graph_provenance": _SQL_PROVENANCE,
     "graph_paths": _SQL_PATHS,
     "graph_variants": f"WITH {_WITH} SELECT entity_type, lower(trim(canonical_name)) AS name, count(*) AS n, string_agg(node_id, ',' ORDER BY node_id) AS node_ids FROM n WHERE canonical_name IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    "graph_schema_issues": _sql_schema(),
+    "graph_rekeyed": _SQL_REKEYED,
+    "graph_collected": _SQL_COLLECTED,
+    "graph_assertions": _SQL_ASSERTIONS,
+    "graph_treatment_paths": _sql_paths(TREATMENT),
+    "graph_gate": _SQL_TRACE.rsplit("SELECT predicate, count(*)", 1)[0].rstrip() + """, m AS (SELECT round(avg(t::INT::DOUBLE), 6) AS a FROM t), r AS (SELECT round(avg((coalesce(review_status, '') = 'approved')::INT::DOUBLE), 6) AS b FROM g)
+      SELECT 'traceable' AS metric, a AS value, 1e0 AS least, coalesce(a >= 1, false) AS passed FROM m UNION ALL SELECT 'approved', b, 0.5e0, coalesce(b >= 0.5, false) FROM r""",
     "graph_components": _SQL_COMPONENTS,
     "graph_verified": _SQL_VERIFIED,
     "graph_histograms": f"WITH {_WITH} SELECT 'node' AS kind, entity_type AS a, layer AS b, count(*) AS n FROM n GROUP BY 2, 3 UNION ALL SELECT 'edge', predicate, evidence_grade, count(*) FROM g GROUP BY 2, 3",
