@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholium.plans import corpus, data_quality, knowledge, retrieval
+from scholium.plans import corpus, data_quality, knowledge, pipeline, retrieval
 
-_MODULES = [retrieval, corpus, knowledge, data_quality]
+_MODULES = [retrieval, corpus, knowledge, pipeline, data_quality]
 
 
 def queries() -> dict:

@@ -409,26 +409,32 @@ def ret_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return once(pages, "page_id", "book_id", "physical_page", "text").select("page_id", "book_id", "physical_page", F.length("text").alias("n_chars"))
 
 
-def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Recall, reciprocal rank and refusals of the keyword retrieval against the chunks that hold the whole alias."""
-    ranked = ret_keyword_bm25(spark, d).select("question_id", F.col("chunk_id").alias("unit_id"), "rank")
+def expected_units(spark: SparkSession, d: str) -> DataFrame:
+    """``question_id, expected``: the chunks that hold a question's whole alias."""
     units = _units(spark, d).select("chunk_id", T.search_form("text").alias("t"))
     asked = []
     for q, (_, _, aliases) in QUESTIONS.items():
         test = reduce(lambda a, b: a | b, [F.col("t").contains(a) for a in aliases], F.lit(False))
         asked.append(units.where(test).agg(F.collect_set("chunk_id").alias("expected")).select(F.lit(q).alias("question_id"), "expected"))
-    return evaluation.retrieval_quality(ranked, reduce(DataFrame.unionByName, asked))
+    return reduce(DataFrame.unionByName, asked)
+
+
+def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Recall, reciprocal rank and refusals of the keyword retrieval against the chunks that hold the whole alias."""
+    ranked = ret_keyword_bm25(spark, d).select("question_id", F.col("chunk_id").alias("unit_id"), "rank")
+    return evaluation.retrieval_quality(ranked, expected_units(spark, d))
 
 
-def _sql_eval() -> str:
+def sql_eval(categories: dict[str, str] | None = None) -> str:
     want = " UNION ALL ".join(
         f"SELECT '{q}' AS question_id, chunk_id FROM units WHERE {' OR '.join(f'contains({_form('text')}, ' + chr(39) + a + chr(39) + ')' for a in spec[2]) or 'false'}" for q, spec in QUESTIONS.items()
     )
+    kind = "CASE q.question_id " + " ".join(f"WHEN '{q}' THEN '{c}'" for q, c in categories.items()) + " END AS category, " if categories else ""
     return f"""WITH {_sql_scored()}, top AS ({_RANKED}), want AS ({want}), q AS (SELECT unnest({sql_list(QUESTIONS)}) AS question_id),
-    f AS (SELECT q.question_id, (SELECT count(*) FROM want w WHERE w.question_id = q.question_id) > 0 AS a,
+    f AS (SELECT {kind}q.question_id, (SELECT count(*) FROM want w WHERE w.question_id = q.question_id) > 0 AS a,
       (SELECT min(rank) FROM top t JOIN want w USING (question_id, chunk_id) WHERE t.question_id = q.question_id) AS r, (SELECT count(*) FROM top t WHERE t.question_id = q.question_id) AS n FROM q)
-    SELECT count(*) AS n_questions, round(avg(CASE WHEN a THEN coalesce((r <= 5)::INT, 0)::DOUBLE END), 6) AS recall_5, round(avg(CASE WHEN a THEN coalesce((r <= 10)::INT, 0)::DOUBLE END), 6) AS recall_10,
-      round(avg(CASE WHEN a THEN coalesce(CASE WHEN r <= 10 THEN 1e0 / r END, 0e0) END), 6) AS mrr_10, round(avg(CASE WHEN NOT a THEN (n = 0)::INT::DOUBLE END), 6) AS refusal_accuracy FROM f"""
+    SELECT {'category, ' if categories else ''}count(*) AS n_questions, round(avg(CASE WHEN a THEN coalesce((r <= 5)::INT, 0)::DOUBLE END), 6) AS recall_5, round(avg(CASE WHEN a THEN coalesce((r <= 10)::INT, 0)::DOUBLE END), 6) AS recall_10,
+      round(avg(CASE WHEN a THEN coalesce(CASE WHEN r <= 10 THEN 1e0 / r END, 0e0) END), 6) AS mrr_10, round(avg(CASE WHEN NOT a THEN (n = 0)::INT::DOUBLE END), 6) AS refusal_accuracy FROM f{' GROUP BY category' if categories else ''}"""
 
 
 QUERIES = {
@@ -463,5 +469,5 @@ SQL = {
     "ret_reranked": _sql_reranked(),
     "ret_snippets": _SQL_SNIPPET,
     "ret_point_lookup": f"SELECT page_id, book_id, physical_page, length(text) AS n_chars FROM {sql_once('(SELECT * FROM pages WHERE physical_page = 7)', 'page_id', 'book_id', 'physical_page', 'text')}",
-    "eval_retrieval": _sql_eval(),
+    "eval_retrieval": sql_eval(),
 }
