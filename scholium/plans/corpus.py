@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scholium.functions import ids, numeric
 from scholium.functions import text as T
-from scholium.operators import chunking, embedding, formula, layout, matching, quality, repair, sequences, stats, vectors
+from scholium.operators import chunking, embedding, formula, layout, matching, quality, repair, sequences, stats, topics, vectors
+from scholium.operators.topics import Topic
 from scholium.plans.common import CJK, once, sql_list, sql_once
 from scholium.session import read_table
 
@@ -61,50 +62,34 @@ def txt_measures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# Topics with their patterns and weights.
-TOPICS = {
-    "burn": (18, [r"(^|[^a-z0-9])burns?($|[^a-z0-9])", "烧伤", "烧烫伤"]),
-    "scald": (16, [r"(^|[^a-z0-9])scalds?($|[^a-z0-9])", "烫伤", "汤火伤"]),
-    "wound_healing": (14, ["wound[- ]heal", r"(^|[^a-z0-9])wounds?($|[^a-z0-9])", "创面", "愈合", "溃疡"]),
-    "inflammation": (6, [r"(^|[^a-z0-9])inflammat", "炎症", "抗炎", "炎性"]),
-    "oxidative_stress": (6, ["oxidative stress", "antioxidant", "氧化应激", "抗氧化"]),
-    "antimicrobial": (6, ["antimicrobial", "antibacterial", "抗菌", "抑菌", "抗感染"]),
-    "hydrogel": (6, ["hydrogel", "水凝胶"]),
-    "network_pharmacology": (6, ["network pharmacology", "网络药理"]),
-    "clinical_evidence": (6, ["clinical trial", "randomi[sz]ed", "随机对照", "临床试验", "患者"]),
-    "safety": (6, ["safety", "toxicity", "不良反应", "毒性", "安全性"]),
-}
-CORE = ["burn", "scald", "wound_healing"]
+#: Topics of the query: what this collection's documents are about, by words of its languages.
+TOPICS = [
+    Topic("dressings", 15, ("dressing", "gauze", "敷料", "纱布", "pansement", "verband", "包帯"), core=True),
+    Topic("skin", 12, ("skin", "epithel", "皮肤", "peau", "haut", "皮膚"), core=True),
+    Topic("pain", 9, ("pain", "疼痛", "douleur", "schmerz")),
+    Topic("scars", 9, ("scar(s|red)?[^a-z]", "瘢痕", "cicatric", "narbe")),
+    Topic("plants", 7, ("herbal", "leaves", "草", "tisane", "kräuter")),
+    Topic("laboratory", 5, ("assay", "culture of", "高效液相", "nf-κb", "tnf-α")),
+    Topic("advice", 4, ("read the label", "remember that", "记得", "先看说明书")),
+]
 
 
 def txt_topic_score(spark: SparkSession, d: str) -> DataFrame:
-    """Topics and score of each document: weight, bonus for the title and capped count per topic, capped again off topic."""
-    title, text = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
-    hay = F.concat(title, F.lit("\n"), text)
-    cols = []
-    for tag, (weight, patterns) in TOPICS.items():
-        n = sum((F.regexp_count(F.col("hay"), F.lit(p)) for p in patterns), F.lit(0))
-        cols.append(F.struct(F.lit(tag).alias("tag"), n.alias("n"), F.when(F.col("title_").rlike("|".join(patterns)), 8).otherwise(0).alias("bonus"), F.lit(weight).alias("w")))
-    hits = F.filter(F.array(*cols), lambda h: h["n"] > 0)
-    x = _docs(spark, d).select("doc_id", hay.alias("hay"), title.alias("title_")).select("doc_id", hits.alias("hits"), (F.trim("hay") == "").alias("blank"))
-    total = F.least(F.lit(100), F.aggregate("hits", F.lit(0), lambda a, h: a + F.least(h["w"] + h["bonus"] + F.least(h["n"], F.lit(5)), F.lit(30))))
-    tags = F.transform("hits", lambda h: h["tag"])
-    core = F.arrays_overlap(tags, F.array(*map(F.lit, CORE)))
-    score = F.when(F.size("hits") == 0, F.least(total, F.lit(10))).when(~core, F.least(total, F.lit(35))).otherwise(total)
-    return x.select("doc_id", score.alias("relevance"), F.array_join(F.when(F.size("hits") == 0, F.array(F.lit("off_topic"))).when(~core, F.array_append(tags, F.lit("off_topic"))).otherwise(tags), ",").alias("tags"))
+    """Topics and relevance of each document."""
+    hits = topics.topic_hits(F.col("title"), F.col("text"), TOPICS)
+    return _docs(spark, d).select("doc_id", hits.alias("hits")).select("doc_id", topics.relevance(F.col("hits")).alias("relevance"), F.array_join(topics.tags(F.col("hits")), ",").alias("tags"))
 
 
 def _sql_topics() -> str:
-    parts, tags = [], []
-    for tag, (weight, patterns) in TOPICS.items():
-        n = " + ".join(f"len(regexp_extract_all(hay, '{p}'))" for p in patterns)
-        bonus = f"(CASE WHEN regexp_matches(title_, '{'|'.join(patterns)}') THEN 8 ELSE 0 END)"
-        parts.append(f"CASE WHEN {n} > 0 THEN least({weight} + {bonus} + least({n}, 5), 30) ELSE 0 END")
-        tags.append(f"CASE WHEN {n} > 0 THEN '{tag}' END")
-    return f"""SELECT doc_id, CASE WHEN tags = '' THEN least(total, 10) WHEN NOT core THEN least(total, 35) ELSE total END AS relevance,
-      CASE WHEN tags = '' THEN 'off_topic' WHEN NOT core THEN tags || ',off_topic' ELSE tags END AS tags FROM (
-      SELECT doc_id, least(100, {' + '.join(parts)}) AS total, concat_ws(',', {', '.join(tags)}) AS tags, list_has_any(string_split(concat_ws(',', {', '.join(tags)}), ','), {sql_list(CORE)}) AS core
-      FROM (SELECT doc_id, lower(coalesce(title, '')) AS title_, lower(coalesce(title, '')) || chr(10) || lower(coalesce(text, '')) AS hay FROM documents))"""
+    count = lambda t: " + ".join(f"len(regexp_extract_all(hay, '{p}'))" for p in t.patterns)
+    rows = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS i, '{t.tag}' AS tag, {str(t.core).lower()} AS core, least({t.weight} + CASE WHEN regexp_matches(title_, '{'|'.join(t.patterns)}') THEN 8 ELSE 0 END + least({count(t)}, 5), 30) AS points FROM h WHERE {count(t)} > 0"
+        for i, t in enumerate(TOPICS)
+    )
+    return f"""WITH h AS (SELECT doc_id, lower(coalesce(title, '')) AS title_, lower(coalesce(title, '')) || chr(10) || lower(coalesce(text, '')) AS hay FROM documents),
+      f AS (SELECT doc_id, sum(points)::INT AS total, bool_or(core) AS core, string_agg(tag, ',' ORDER BY i) AS tags FROM ({rows}) GROUP BY 1)
+      SELECT h.doc_id, CASE WHEN f.doc_id IS NULL THEN 0 WHEN core THEN least(total, 100) ELSE least(total, 35) END AS relevance,
+        CASE WHEN f.doc_id IS NULL THEN 'off_topic' WHEN core THEN tags ELSE tags || ',off_topic' END AS tags FROM h LEFT JOIN f USING (doc_id)"""
 
 
 def txt_json_tags(spark: SparkSession, d: str) -> DataFrame:
