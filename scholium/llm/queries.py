@@ -93,6 +93,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_profile": p9_profile,
 }
+_NOT_PLAIN = unicode_forms.patterns()["found"].replace("'", "''")
 SQL = {
     "p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > 1500",
+    "p6_found": f"""SELECT DISTINCT 'chunks' AS rec_table, chunk_id AS rec_key FROM chunks WHERE chunk_id IS NOT NULL AND regexp_matches(normalized_text, '{_NOT_PLAIN}')
+      UNION ALL SELECT DISTINCT 'pages', page_id FROM pages WHERE page_id IS NOT NULL AND regexp_matches(text, '{_NOT_PLAIN}')""",
 }
