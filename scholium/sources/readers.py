@@ -103,7 +103,7 @@ def quality_of_text(c: Column) -> Column:
 
 
 def anchored_pages(spark: SparkSession, path: str, edition: str) -> DataFrame:
-    """``file, anchor, n, text, confidence``: transcriptions cut at the page anchors of one edition; an anchor that comes twice is an error."""
+    """``file, anchor, n, text, confidence``: transcriptions cut at the page anchors of one edition; an anchor that comes twice, in one file or in two, is an error."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
     mark = f"<pb:([^>]*_{edition}_[^>]*)>"
     anchors = F.regexp_extract_all("raw", F.lit(mark), F.lit(1))
@@ -111,7 +111,7 @@ def anchored_pages(spark: SparkSession, path: str, edition: str) -> DataFrame:
     pages = raw.select("file", F.posexplode(F.arrays_zip(anchors.alias("a"), parts.alias("t"))).alias("n", "x"))
     text = transcription(F.col("x.t"))
     out = pages.select("file", F.col("x.a").alias("anchor"), "n", text.alias("text"), quality_of_text(text).alias("confidence"))
-    twice = F.count(F.lit(1)).over(Window.partitionBy("file", "anchor"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
     return out.withColumn("anchor", F.when(twice > 1, F.raise_error(F.concat(F.lit("anchor comes twice: "), "anchor"))).otherwise(F.col("anchor")))
 
 

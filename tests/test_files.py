@@ -99,3 +99,10 @@ def test_cli(spark, data, tmp_path, capsys):
     assert cli.main(["run", "ret_point_lookup", data, str(tmp_path / "o"), "--format", "json"]) == 0
     with pytest.raises(SystemExit):
         cli.main(["show", "no_such_query", data])
+
+
+def test_an_anchor_in_two_files(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.txt").write_text("<pb:K_WYG_1-1a>text")
+    with pytest.raises(Exception, match="anchor comes twice"):
+        readers.anchored_pages(spark, str(tmp_path), "WYG").collect()
