@@ -42,10 +42,11 @@ def build_index(units: DataFrame, key: str, fields: dict[str, Column], weights:
     size = sum((F.size(f) for f in fields.values()), F.lit(0))
     every = F.concat(*[_weighed(f, weights[n]) for n, f in fields.items()])
     rows = units.select(key, size.alias("len"), every.alias("hits"))
-    counted = rows.select(key, "len", F.explode("hits").alias("h")).groupBy(key, "len", F.col("h.token").alias("token")).agg(F.sum("h.w").alias("f"))
+    # A unit without tokens keeps a row, so that it counts.
+    counted = rows.select(key, "len", F.explode_outer("hits").alias("h")).groupBy(key, "len", F.col("h.token").alias("token")).agg(F.sum("h.w").alias("f"))
     kept = durable(counted.repartition(F.col("token"), F.pmod(F.xxhash64(key), F.lit(TOKEN_PARTS))).sortWithinPartitions("token"))
-    n, total = units.count(), kept.groupBy(key).agg(F.max("len").alias("len")).agg(F.sum("len")).first()[0]  # a unit without tokens has no posting
-    return Index(kept, key, n, (total or 0) / max(n, 1))
+    n, mean = kept.groupBy(key).agg(F.max("len").alias("len")).agg(F.count(F.lit(1)), F.avg("len")).first()
+    return Index(kept, key, n, mean or 0.0)
 
 
 def fingerprint(*tables: DataFrame) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a title adds, hits that count, the most of one topic, of all, of a text off topic, and of one without a topic.
@@ -21,17 +21,22 @@ class Topic:
     core: bool = False
 
 
-def topic_hits(title: Column, text: Column, topics: list[Topic]) -> Column:
-    """``tag, points, core`` of each topic that occurs, in the order given: weight, title bonus and hits, up to the most of one topic."""
-    low_title = F.lower(F.coalesce(title, F.lit("")))
-    hay = F.concat(low_title, F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
+def prepared(df: DataFrame, title: str, text: str, *kept: str) -> DataFrame:
+    """``kept, low_title, hay``: what the patterns are tried on, made once per row."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return df.select(*kept, low.alias("low_title"), F.concat(low, F.lit("\n"), F.lower(F.coalesce(text, F.lit("")))).alias("hay"))
+
+
+def topic_hits(topics: list[Topic]) -> Column:
+    """``tag, points, core`` of each topic that occurs in a prepared row, in the order given: weight, title bonus and hits, up to the most of one topic."""
     found = []
     for t in topics:
-        n = sum((F.regexp_count(hay, F.lit(p)) for p in t.patterns), F.lit(0))
-        bonus = F.when(low_title.rlike("|".join(t.patterns)), TITLE_BONUS).otherwise(0)
-        points = F.least(F.lit(t.weight) + bonus + F.least(n, F.lit(MOST_HITS)), F.lit(MOST_PER_TOPIC))
-        found.append(F.when(n > 0, F.struct(F.lit(t.tag).alias("tag"), points.alias("points"), F.lit(t.core).alias("core"))))
-    return F.array_compact(F.array(*found))
+        n = sum((F.regexp_count("hay", F.lit(p)) for p in t.patterns), F.lit(0))
+        bonus = F.when(F.col("low_title").rlike("|".join(t.patterns)), TITLE_BONUS).otherwise(0)
+        found.append(F.struct(F.lit(t.tag).alias("tag"), n.alias("n"), (F.lit(t.weight) + bonus).alias("base"), F.lit(t.core).alias("core")))
+    hits = F.filter(F.array(*found), lambda h: h["n"] > 0)
+    points = lambda h: F.least(h["base"] + F.least(h["n"], F.lit(MOST_HITS)), F.lit(MOST_PER_TOPIC))
+    return F.transform(hits, lambda h: F.struct(h["tag"].alias("tag"), points(h).alias("points"), h["core"].alias("core")))
 
 
 def relevance(hits: Column) -> Column:

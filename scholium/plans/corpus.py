@@ -76,8 +76,8 @@ TOPICS = [
 
 def txt_topic_score(spark: SparkSession, d: str) -> DataFrame:
     """Topics and relevance of each document."""
-    hits = topics.topic_hits(F.col("title"), F.col("text"), TOPICS)
-    return _docs(spark, d).select("doc_id", hits.alias("hits")).select("doc_id", topics.relevance(F.col("hits")).alias("relevance"), F.array_join(topics.tags(F.col("hits")), ",").alias("tags"))
+    rows = topics.prepared(_docs(spark, d), "title", "text", "doc_id")
+    return rows.select("doc_id", topics.topic_hits(TOPICS).alias("hits")).select("doc_id", topics.relevance(F.col("hits")).alias("relevance"), F.array_join(topics.tags(F.col("hits")), ",").alias("tags"))
 
 
 def _sql_topics() -> str:
