@@ -106,6 +106,41 @@ def test_words_beyond_the_vocabulary_are_joined(spark, clean, monkeypatch):
     assert len(whole ^ part) <= 0.01 * len(whole)  # only vectors know more with the larger vocabulary
 
 
+def test_results_do_not_depend_on_the_vocabulary(spark, monkeypatch):
+    rng = random.Random(5)
+    usual = sorted({"".join(rng.choice(x) for x in ("bjkprsxz", "aoy", "bjkprsxz", "aoy", "ksz")) for _ in range(700)})[:600]  # no glyph edit links them
+    words = [w for w in usual for _ in range(160)]
+    rng.shuffle(words)
+    lines = [words[k : k + 8] for k in range(0, len(words), 8)]
+    # Of two words alike, the one stands beside some words, the other beside others, but for few misread ones.
+    beside, places = {"hear": usual[:20], "bear": usual[20:40]}, rng.sample(range(len(lines)), 300)
+    put = [(w, w) for w in ("hear", "bear") for _ in range(100)] + [("hear", "bear")] * 3 + [("bear", "hear")] * 3
+    for k, (meant, w) in zip(places, put):
+        lines[k][2:7] = [*rng.sample(beside[meant], 2), w, *rng.sample(beside[meant], 2)]
+    # More than a few misread forms of a word that is not very frequent, and one that is too frequent to be one.
+    for k, w in zip(places[206:], ["wound"] * 30 + ["wouud"] * 5 + ["blood"] * 30 + ["bloocl"] * 9):
+        lines[k][3] = w
+    rows = [[" ".join(x) for x in lines[k : k + 30]] for k in range(0, len(lines), 30)]
+    for k in range(20):  # a hyphen stays between frequent words that are not one
+        rows[k][8:10] = [rows[k][8] + " well", "known " + rows[k][9]]
+        if k < 5:
+            rows[k][4:6] = [rows[k][4] + " well-", "known " + rows[k][5]]
+            rows[k][14:16] = [rows[k][14] + " im-", "portant " + rows[k][15]]
+    for k in range(40):  # an ideograph between the same ones, once misread
+        rows[k][20] += "".join(f"，{chr(0x6000 + k)}{'熱' if i else '熟'}{chr(0x7000 + k)}" for i in range(12))
+    pages = spark.createDataFrame([(f"p{k}", "b", k, None, "\n".join(x), "horizontal-ltr", T, 1) for k, x in enumerate(rows)], PAGE)
+    books = spark.createDataFrame([("b", "Some title")], BOOK)
+    both = lambda: [{tuple(r) for r in f(pages, books).collect()} for f in (ocr.found, ocr.repaired)]
+    lines_, texts = both()
+    put_wrong = {(f"p{k // 30}", k % 30, "misread") for k, (meant, w) in zip(places, put) if meant != w}
+    assert len({x for x in lines_ if x[2] == "misread"} & put_wrong) >= 3 and sum("well-known" in t and "important" in t for _, t in texts) == 5
+    assert len({x for x in lines_ if x[1:] == (20, "misread")}) >= 40
+    monkeypatch.setattr(ocr, "VOCABULARY", 100)
+    model, _ = ocr.learn(ocr.durable(ocr.delivered(pages, books).mapInArrow(ocr._parse, ocr._PARSED)))
+    assert model.floor[0] > 120 and model.floor[1] > 2 and not {"hear", "wound", "well"} & model.counts.keys()
+    assert both() == [lines_, texts]
+
+
 def test_words_are_corrected_in_context():
     axis = np.eye(8, dtype=np.float32)
     near = {"claw": axis[0], "den": axis[0], "voice": axis[1], "ear": axis[1]}
