@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +52,10 @@ LATIN_EDITS = [
 SELDOM_EDITS = [("d", "cl"), ("h", "b"), ("e", "c"), ("n", "u"), ("m", "rn"), ("i", "l"), ("l", "i"), ("t", "f"), ("g", "q"), ("w", "vv")]
 
 
-def _by_letter(edits: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
-    out: dict[str, list[tuple[str, str]]] = {}
+def _by_letter(edits: list[tuple[str, str]]) -> dict[str, list[tuple[str, str, int]]]:
+    out: dict[str, list[tuple[str, str, int]]] = {}
     for wrong, right in edits:
-        out.setdefault(wrong[0], []).append((wrong, right))
+        out.setdefault(wrong[0], []).append((wrong, right, len(wrong)))
     return out
 
 
@@ -86,6 +87,10 @@ LEAST_GAIN = 3.5
 
 _LETTER = "[^\\W_\u2e80-\uffef\U00020000-\U0003ffff]"
 _TOKEN = re.compile(f"[@!|$]?{_LETTER}+(?:[@!|$]+{_LETTER}+)*[@!]?|@")
+# The same for texts without characters beyond: their letters stand in a table, which is looked at faster than a category.
+_BEYOND = re.compile("[\ufff0-\U0001ffff\U00040000-\U0010ffff]")
+_FEW = "".join(filter(re.compile(_LETTER).match, map(chr, range(0x2E80))))
+_QUICK_TOKEN = re.compile(f"[@!|${_FEW}](?:(?:(?<=[{_FEW}])[{_FEW}]*+|[{_FEW}]++)(?:[@!|$]++[{_FEW}]++)*+[@!]?|(?<=@))")
 _HAN = re.compile(r"[㐀-䶿一-鿿〓□■�]")
 _KANA = re.compile(r"[ぁ-ヾ]")
 _HAN_RUN = re.compile(_HAN.pattern + "+")
@@ -101,6 +106,11 @@ _BOTH = re.compile(f"[A-Za-zÀ-ɏ][{_OTHER}]|[{_OTHER}][A-Za-zÀ-ɏ]")
 _table: dict[int, str | None] | None = None
 
 
+def words_of(text: str) -> list[str]:
+    """The words of alphabets of a text in small letters."""
+    return (_QUICK_TOKEN if text.isascii() or not _BEYOND.search(text) else _TOKEN).findall(text)
+
+
 def plain(text: str) -> str:
     """``text`` with look-alike characters in their common form; line ends stay, and so do soft hyphens at them."""
     global _table
@@ -110,8 +120,11 @@ def plain(text: str) -> str:
         _table = {ord(c): x for c, x in unicode_forms.compatibility_forms().items()}
         _table |= {p: None for a, b in unicode_forms._INVISIBLE for p in range(a, min(b, a + 0x1000) + 1)}
         _table |= {p: " " for a, b in unicode_forms._SPACES for p in range(a, b + 1)}
-    kept = re.sub("\xad(?=[ \t]*(?:\n|$))", "‐", text)
-    same = unicodedata.normalize("NFC", kept.translate(_table))
+    kept = re.sub("\xad(?=[ \t]*(?:\n|$))", "‐", text) if "\xad" in text else text
+    # Of the table only what the text has: few characters, whose common forms are none that it replaces.
+    for c in _table.keys() & set(map(ord, set(kept))):
+        kept = kept.replace(chr(c), _table[c] or "")
+    same = unicodedata.normalize("NFC", kept)
     return _TWO_SCRIPTS.sub(lambda m: unicode_forms.one_script(m.group()), same) if _BOTH.search(same) else same
 
 
@@ -137,8 +150,16 @@ _FOLDED = ("cf@u05!169|$3", "etanosilbglse")
 _LIGATED = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _only_letters(x: str) -> str:
+    got = "".join(_LETTERS.findall(x))
+    return got if not got or got.isalpha() else "".join(filter(str.isalpha, got))
+
+
 def _letters(line: str) -> str:
-    return "".join(filter(str.isalpha, line.lower()))
+    return _only_letters(line.lower())
 
 
 _FOLD = str.maketrans(*_FOLDED)
@@ -149,7 +170,7 @@ def head_key(line: str) -> str:
     x = _NUMERAL_WORDS.sub("", line).lower().strip(" 0123456789.·-\u3000\t\r").translate(_FOLD)
     for wrong, right in _LIGATED:
         x = x.replace(wrong, right)
-    return "".join(filter(str.isalpha, x))
+    return _only_letters(x)
 
 
 def is_page_number(line: str, page: int | None, label: str | None, offsets: frozenset[int] = frozenset()) -> bool:
@@ -193,13 +214,17 @@ def is_header(line: str, title: str, heads: frozenset[str] = frozenset()) -> boo
     s = line.strip()
     if len(s) > max(36, len(title) + 16):
         return False
-    if heads and head_key(s) in heads:
+    # An ideograph at the start begins the key as well.
+    if heads and not ("一" <= s[:1] <= "鿿" and s[0] not in "卷第" and s[0] not in _starts(heads)) and head_key(s) in heads:
         return True
-    if _resembles(_letters(_NUMERAL_WORDS.sub("", s)), title, _title_grams(title)):
+    low, grams = s.lower(), _title_grams(title)
+    if title and len(low) >= 0.5 * len(title) and not (grams and _characters(title).isdisjoint(low)) and _resembles(_letters(_NUMERAL_WORDS.sub("", s)), title, grams):
         return True
     # A head that does not recur among the pages at hand: capitals only.
+    if low == s or _HAN.search(s):
+        return False
     alpha = [c for c in s if c.isalpha()]
-    return 4 <= len(alpha) <= 30 and s.lower() != s and not _HAN.search(s) and sum(c.isupper() for c in alpha) >= 0.8 * len(alpha) and not s.endswith((",", ";", ")")) and len(s.split()) <= 5 and not any(c in s for c in "(-")
+    return 4 <= len(alpha) <= 30 and sum(c.isupper() for c in alpha) >= 0.8 * len(alpha) and not s.endswith((",", ";", ")")) and len(s.split()) <= 5 and not any(c in s for c in "(-")
 
 
 @lru_cache(10_000)
@@ -207,6 +232,16 @@ def _title_grams(title: str) -> frozenset:
     return _grams(title)
 
 
+@lru_cache(10_000)
+def _characters(title: str) -> frozenset[str]:
+    return frozenset(title)
+
+
+@lru_cache(10_000)
+def _starts(heads: frozenset[str]) -> frozenset[str]:
+    return frozenset(x[:1] for x in heads)
+
+
 @dataclass
 class Page:
     """A page's lines in the plain form, the furniture among them, and its body lines."""
@@ -237,10 +272,13 @@ def read_page(text: str, title: str | None, number: int | None, label: str | Non
 def breaks(page: Page) -> list[tuple[int, int]]:
     """Body lines whose last word goes on in the next body line behind a break mark, with that line."""
     out = []
+    lines = page.lines
     for a, b in zip(page.body, page.body[1:]):
-        x, y = page.lines[a].rstrip(), page.lines[b].lstrip()
-        if len(x) > 1 and x[-1] in BREAK_MARKS and x[-2].isalnum() and y[:1].isalnum() and not _HAN.match(y) and not _KANA.search(x + y):
-            out.append((a, b))
+        x = lines[a].rstrip()
+        if len(x) > 1 and x[-1] in BREAK_MARKS and x[-2].isalnum():
+            y = lines[b].lstrip()
+            if y[:1].isalnum() and not _HAN.match(y) and not _KANA.search(x + y):
+                out.append((a, b))
     return out
 
 
@@ -291,17 +329,35 @@ class Body:
         """The ideographs in a row, everything else left out."""
         return "".join(_HAN_RUN.findall(self.raw)) if not self.raw.isascii() else ""
 
-    def ideograph_lines(self, places: list[int]) -> list[int]:
-        ends, n = [], 0
-        for i in self.page.body:
-            n += len(_HAN.findall(self.page.lines[i]))
-            ends.append(n)
-        return [self.page.body[bisect_right(ends, p)] for p in places]
+
+def ideograph_lines(page: Page, places: list[int]) -> list[int]:
+    """The page's lines on which the ideographs at ``places`` of the body's row stand."""
+    ends, n = [], 0
+    for i in page.body:
+        n += sum(map(len, _HAN_RUN.findall(page.lines[i])))
+        ends.append(n)
+    return [page.body[bisect_right(ends, p)] for p in places]
 
 
 # --- what the corpus knows -----------------------------------------------------------------------------------
 
 
+class _Logs(dict):
+    """Log probability of the last of four characters of a padded word after the others, from the counts of grams."""
+
+    def __init__(self, grams: dict[str, int]):
+        self.grams = grams
+
+    def __missing__(self, four: str) -> float:
+        g = self.grams.get
+        back = (g(four[1:], 0) + 0.2) / (g("<" + four[1:3], 0) + 8)
+        got = self[four] = math.log((g(four, 0) + 4 * back) / (g("<" + four[:3], 0) + 4))
+        return got
+
+    def __reduce__(self):
+        return _Logs, (self.grams,)
+
+
 @dataclass
 class Model:
     """``counts`` and ``triples`` hold what occurs at least ``floor`` times (words, ideographs in a row); a page's own are the verdicts (``more``) and the frequent ``words`` beyond that."""
@@ -315,11 +371,15 @@ class Model:
     more: dict[str, tuple[str, tuple[int, ...], list]] = field(default_factory=dict)
     words: frozenset[str] = frozenset()
     memo: dict = field(default_factory=dict)
-    logs: dict = field(default_factory=dict)
+    logs: _Logs | None = None
     right: frozenset[str] | None = None
     #: Tells a worker whether it has this model, and what it remembers of it, already.
     token: str = ""
 
+    def __post_init__(self):
+        if self.logs is None:
+            self.logs = _Logs(self.grams)
+
     def near(self, a: str, b: str) -> bool:
         """Whether a rare word's vector lies near a frequent one's; words that are no rarity themselves are left to their context."""
         x, y = self.vectors.get(a), self.vectors.get(b)
@@ -329,6 +389,8 @@ class Model:
 
     def knows(self, w: str) -> bool:
         """Whether nothing below the floor bears on ``w``: no word there is much more frequent, and a rival needs a vector of ``w``."""
+        if self.floor == (0, 0):
+            return True
         if _of_rows(w):
             return not self.floor[1] or all(x in self.triples for x in _needs(w))
         n, floor = self.counts.get(w, 0), self.floor[0]
@@ -390,16 +452,6 @@ class Model:
     def linked(self, w: str) -> list[tuple[str, int]]:
         return [*self._variants(w, _USUAL_BY_LETTER), *self._variants(w, _SELDOM_BY_LETTER)]
 
-    def _log(self, w: str, i: int) -> float:
-        """Log probability of the character at ``i`` of a padded word after the three before it."""
-        four = w[i - 3 : i + 1]
-        got = self.logs.get(four)
-        if got is None:
-            g = self.grams.get
-            back = (g(four[1:], 0) + 0.2) / (g("<" + four[1:3], 0) + 8)
-            got = self.logs[four] = math.log((g(four, 0) + 4 * back) / (g("<" + four[:3], 0) + 4))
-        return got
-
     def _gain(self, w: str, v: str, at: int) -> float:
         """What the log probability gains by spelling ``w`` as ``v``, which differ from ``at`` on for a few letters."""
         x, y = f"^^^{w}$", f"^^^{v}$"
@@ -408,7 +460,8 @@ class Model:
         while a > i and b > i and x[a - 1] == y[b - 1]:
             a, b = a - 1, b - 1
         a, b = min(a + 3, len(x)), min(b + 3, len(y))
-        return sum([self._log(y, k) for k in range(i, b)]) - sum([self._log(x, k) for k in range(i, a)])
+        logs = self.logs
+        return sum([logs[y[k - 3 : k + 1]] for k in range(i, b)]) - sum([logs[x[k - 3 : k + 1]] for k in range(i, a)])
 
     def spelling(self, w: str) -> tuple[str, tuple[int, ...]]:
         """The word meant by ``w`` and the places in ``w`` that are not as printed."""
@@ -420,12 +473,13 @@ class Model:
         return got
 
     @staticmethod
-    def _variants(w: str, edits: dict[str, list[tuple[str, str]]]) -> list[tuple[str, int]]:
+    def _variants(w: str, edits: dict[str, list[tuple[str, str, int]]]) -> list[tuple[str, int]]:
         """Every spelling that one glyph edit leads to, and where the edit is."""
-        return [(w[:i] + right + w[i + len(wrong) :], i) for i, c in enumerate(w) if c in edits for wrong, right in edits[c] if w.startswith(wrong, i)]
+        return [(w[:i] + right + w[i + n :], i) for i, c in enumerate(w) if c in edits for wrong, right, n in edits[c] if n == 1 or w.startswith(wrong, i)]
 
     def _spelling(self, w: str) -> tuple[str, tuple[int, ...]]:
-        letters = sum(map(str.isalpha, w))
+        plain_word = w.isalpha()
+        letters = len(w) if plain_word else sum(map(str.isalpha, w))
         if len(w) > 60 or not letters and w != "@":
             return w, ()
         if not self.knows(w):
@@ -434,7 +488,6 @@ class Model:
                 self.memo[w,] = choice
             return to, at
         n, get = self.counts.get(w, 0), self.counts.get
-        plain_word = letters == len(w)
         best, places = None, ()
         variants = self._variants(w, _USUAL_BY_LETTER)
         linked = [(v, at, m) for v, at in (*variants, *self._variants(w, _SELDOM_BY_LETTER)) if (m := get(v, 0))]
@@ -508,36 +561,37 @@ for _pair in HAN_EDITS:
 _SUSPECT = re.compile("[" + "".join(_GLYPHS) + UNREADABLE + "]")
 
 
-def misread(page: Page, model: Model, latin: str | None = None, row: str | None = None) -> tuple[set[int], dict[int, list[tuple[str, str]]], dict[int, str]]:
+def misread(page: Page, model: Model, words: list[str] | None = None, row: str | None = None) -> tuple[set[int], dict[int, list[tuple[str, str]]], dict[int, str]]:
     """Body lines with misread characters; the words to replace in each line; the ideographs to replace by place."""
     lines: set[int] = set()
     fixes: dict[int, list[tuple[str, str]]] = {}
     body = None
-    if latin is None or row is None:
+    if words is None or row is None:
         body = Body(page)
-        latin, row = body.latin(), body.ideographs()
-    tokens = _TOKEN.findall(latin) if latin else []
-    odd = set(tokens) - model.sound()
+        words, row = words_of(body.latin()), body.ideographs()
+    odd = set(words) - model.sound()
     if odd:
         memo, spelling = model.memo, model.spelling
-        odd = {w for w in odd if (memo.get(w) or spelling(w))[1] or model.chosen(w)}
+        odd = {w for w in odd if (memo.get(w) or spelling(w))[1] or (w,) in memo}
     if odd:
         body = body or Body(page)
-        for k, m in enumerate(_TOKEN.finditer(latin)):
-            w = tokens[k]
-            if w not in odd or (len(w) <= 5 and body.cased[m.start() : m.end()].isupper()):  # the letters of a code
+        text, end = body.latin(), 0
+        for k, w in enumerate(words):
+            # Between two words stands nothing that a word begins with, so this is its place.
+            start = text.index(w, end)
+            end = start + len(w)
+            if w not in odd or (len(w) <= 5 and body.cased[start:end].isupper()):  # the letters of a code
                 continue
-            to, places = model.meant(w, tokens[max(k - 2, 0) : k] + tokens[k + 1 : k + 3])
+            to, places = model.meant(w, words[max(k - 2, 0) : k] + words[k + 1 : k + 3])
             if not places:
                 continue
-            at = [body.line(m.start() + p) for p in places]
+            at = [body.line(start + p) for p in places]
             lines.update(at)
-            if body.line(m.start()) == body.line(m.end() - 1):
+            if body.line(start) == body.line(end - 1):
                 fixes.setdefault(at[0], []).append((w, to))
     wrong = model.ideograph_errors(row) if row else []
     if wrong:
-        body = body or Body(page)
-        lines.update(body.ideograph_lines([i for i, _ in wrong]))
+        lines.update(ideograph_lines(page, [i for i, _ in wrong]))
     return lines, fixes, dict(wrong)
 
 
@@ -556,11 +610,11 @@ def _respelt(line: str, w: str, to: str) -> str:
     return "".join(out) + line[at:]
 
 
-def repair(page: Page, model: Model | None, latin: str | None = None, row: str | None = None, asked: set[str] | None = None) -> str:
+def repair(page: Page, model: Model | None, words: list[str] | None = None, row: str | None = None, asked: set[str] | None = None) -> str:
     """One continuous text in paragraphs; to ``asked`` are added the words whose being frequent decides on hyphens, which all go then."""
     lines = list(page.lines)
     if model is not None:
-        _, fixes, right = misread(page, model, latin, row)
+        _, fixes, right = misread(page, model, words, row)
         for at, pairs in fixes.items():
             for w, to in pairs:
                 lines[at] = _respelt(lines[at], w, to)
@@ -610,11 +664,12 @@ def repair(page: Page, model: Model | None, latin: str | None = None, row: str |
 # --- over the corpus -----------------------------------------------------------------------------------------
 
 _COLUMNS = ("page_id", "text", "title", "physical_page", "pdf_page_label", "reading_direction", "recurring")
-_PARSED = "page_id string, native boolean, lines string, headers array<int>, numbers array<int>, latin string, ideographs string"
+_PARSED = "page_id string, native boolean, lines string, headers array<int>, numbers array<int>, words string, ideographs string"
 
 
 @lru_cache(10_000)
-def _split_recurring(keys: tuple[str, ...]) -> tuple[frozenset[str], frozenset[int]]:
+def _split_recurring(recurring: str) -> tuple[frozenset[str], frozenset[int]]:
+    keys = recurring.split("\n") if recurring else []
     return frozenset(k for k in keys if not k.startswith("#")), frozenset(int(k[1:]) for k in keys if k.startswith("#"))
 
 
@@ -624,31 +679,36 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pid, text, title, number, label, direction, recurring in zip(*(batch.column(c).to_pylist() for c in _COLUMNS)):
             if text and text.strip():
                 native = direction == "native"
-                heads, offsets = _split_recurring(tuple(recurring or ()))
+                heads, offsets = _split_recurring(recurring or "")
                 page = read_page(text, title, number, label, native, heads, offsets)
                 body = Body(page)
-                rows.append((pid, native, "\n".join(page.lines), page.headers, page.numbers, body.latin(), body.ideographs()))
+                rows.append((pid, native, "\n".join(page.lines), page.headers, page.numbers, " ".join(words_of(body.latin())), body.ideographs()))
         cols = list(zip(*rows)) or [()] * 7
         ints = pa.list_(pa.int32())
         kinds = [pa.string(), pa.bool_(), pa.string(), ints, ints, pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "native", "lines", "headers", "numbers", "latin", "ideographs"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "native", "lines", "headers", "numbers", "words", "ideographs"])
 
 
 def _choices(rows: list[dict] | None) -> list[tuple[str, tuple[int, ...], float, np.ndarray | None]]:
     return [(r["to"], tuple(r["places"]), r["prior"], None if r["vector"] is None else np.frombuffer(r["vector"], np.float32)) for r in rows or ()]
 
 
-def _parsed(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[str, Page, bool, str, str]]:
-    """The pages of a batch; what the model cannot know by itself stands in ``more``."""
-    names = ("page_id", "native", "lines", "headers", "numbers", "latin", "ideographs")
-    own = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("more", "words")]
-    for pid, native, lines, headers, numbers, latin, row, more, words in zip(*(batch.column(c).to_pylist() for c in names), *own):
+def _ints(column: pa.Array) -> list[list[int]]:
+    flat, ends = column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _parsed(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[str, Page, bool, list[str], str]]:
+    """The pages of a batch; what the model cannot know by itself stands in ``more`` and ``frequent``."""
+    names = ("page_id", "native", "lines", "words", "ideographs")
+    own = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("more", "frequent")]
+    for pid, native, lines, words, row, headers, numbers, more, frequent in zip(*(batch.column(c).to_pylist() for c in names), *(_ints(batch.column(c)) for c in ("headers", "numbers")), *own):
         page = Page(lines.split("\n"), headers, numbers)
         out = {*headers, *numbers}
         page.body = [i for i, x in enumerate(page.lines) if i not in out and x and not x.isspace()]
         model.more = {m["item"]: (m["to"], tuple(m["places"]), _choices(m["choice"])) for m in more} if more else {}
-        model.words = frozenset(words or ())
-        yield pid, page, native, latin, row
+        model.words = frozenset(frequent or ())
+        yield pid, page, native, words.split(" ") if words else [], row
 
 
 def _triples(row: str) -> np.ndarray:
@@ -662,30 +722,37 @@ def _spell(code: int) -> str:
     return "".join(chr(x) for x in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if x)
 
 
+def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The words of a batch's pages, and of each the number of its page among those that have any."""
+    column = batch.column("words")
+    pages = pc.split_pattern(column.filter(pc.not_equal(column, "")), " ")
+    return pages.flatten(), pc.list_parent_indices(pages).to_numpy()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (``item``) and of ideographs, pairs and triples (``code``), summed within the task."""
-    seen: Counter = Counter()
+    seen: list[pa.StructArray] = []
     codes: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.nulls(len(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["item", "code", "n"])
+            item, n = (pa.concat_arrays([x.field(k) for x in seen]) for k in (0, 1))
             seen.clear()
+            for part in pa.table([item, n], ["item", "n"]).group_by("item").aggregate([("n", "sum")]).to_batches():
+                yield pa.RecordBatch.from_arrays([part.column("item"), pa.nulls(part.num_rows, pa.int64()), part.column("n_sum")], ["item", "code", "n"])
         if codes:
             code, n = np.unique(np.concatenate(codes), return_counts=True)
             codes.clear()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["item", "code", "n"])
 
     for batch in batches:
-        rows = []
-        for latin, row in zip(batch.column("latin").to_pylist(), batch.column("ideographs").to_pylist()):
-            if latin:
-                seen.update(_TOKEN.findall(latin))
-            if row:
-                rows.append(row)
+        words = _split(batch)[0]
+        if len(words):
+            seen.append(pc.value_counts(words))
+        rows = list(filter(None, batch.column("ideographs").to_pylist()))
         if rows:
             codes.append(_triples("$^".join(rows)))
-        if len(seen) > 500_000 or sum(map(len, codes)) > 8_000_000:
+        if sum(map(len, seen)) > 500_000 or sum(map(len, codes)) > 8_000_000:
             yield from flush()
     yield from flush()
 
@@ -695,7 +762,7 @@ def _cooccur(known: dict[str, int], wanted: np.ndarray, contexts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        get = known.get
+        ranked = pa.array(list(known), pa.string())  # in the order of their ids
         of_point = np.full(0x30000, -1, np.int64)  # the ids of ideographs by code point
         for w, k in known.items():
             if len(w) == 1 and ord(w) < len(of_point):
@@ -708,13 +775,12 @@ def _cooccur(known: dict[str, int], wanted: np.ndarray, contexts: int):
 
         size = 0
         for batch in batches:
-            ids: list[int] = []
-            for latin in filter(None, batch.column("latin").to_pylist()):
-                ids += [get(w, -1) for w in _TOKEN.findall(latin)]
-                ids += (-1, -1)
+            words, of = _split(batch)
+            ids = np.full(len(words) + 2 * (of[-1] + 1 if len(of) else 0), -1, np.int64)  # two unknown words behind each page
+            ids[np.arange(len(words)) + 2 * of] = pc.index_in(words, ranked).fill_null(-1).to_numpy()
             rows = "  ".join(filter(None, batch.column("ideographs").to_pylist()))
             points = np.frombuffer(f"  {rows}".encode("utf-32-le"), np.uint32).astype(np.int64)
-            a = np.concatenate([np.array(ids, np.int64), np.where(points < len(of_point), of_point[np.minimum(points, len(of_point) - 1)], -1)])
+            a = np.concatenate([ids, np.where(points < len(of_point), of_point[np.minimum(points, len(of_point) - 1)], -1)])
             for d in (1, 2):
                 x, y = a[d:], a[:-d]
                 for one, two in ((x, y), (y, x)):
@@ -743,8 +809,8 @@ def _cooccur_others(known: dict[str, int], contexts: int):
             return out
 
         for batch in batches:
-            for latin in filter(None, batch.column("latin").to_pylist()):
-                tokens = _TOKEN.findall(latin)
+            for words in filter(None, batch.column("words").to_pylist()):
+                tokens = words.split(" ")
                 ids = [known.get(w, -1) for w in tokens]
                 for k, w in enumerate(tokens):
                     if ids[k] < 0:
@@ -854,7 +920,7 @@ def learn(parsed: DataFrame) -> tuple[Model, DataFrame]:
     frequent, or the ``VOCABULARY`` most frequent ones, besides the contexts and
     the single ideographs; the rest is looked up by ``beyond``.
     """
-    counts = durable(parsed.select("latin", "ideographs").mapInArrow(_count, "item string, code long, n long").groupBy("item", "code").agg(F.sum("n").alias("n")))
+    counts = durable(parsed.select("words", "ideographs").mapInArrow(_count, "item string, code long, n long").groupBy("item", "code").agg(F.sum("n").alias("n")))
     glyphs = sorted({ord(c) for pair in HAN_EDITS for c in pair})
     mark = lambda c: c.isin(glyphs)
     # Only what an ideograph of like shape stands in is ever asked for.
@@ -885,9 +951,9 @@ def learn(parsed: DataFrame) -> tuple[Model, DataFrame]:
     wanted[[known[w] for w in suspects]] = True
     vectors, contexts = {}, {}
     if suspects or floor[0]:
-        pairs = parsed.select("latin", "ideographs").mapInArrow(_cooccur(known, wanted, CONTEXTS), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = parsed.select("words", "ideographs").mapInArrow(_cooccur(known, wanted, CONTEXTS), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         if floor[0]:
-            beside = parsed.select("latin").mapInArrow(_cooccur_others(known, CONTEXTS), "w string, c int, n long")
+            beside = parsed.select("words").mapInArrow(_cooccur_others(known, CONTEXTS), "w string, c int, n long")
             others = durable(beside.join(others, "w", "left_semi").groupBy("w", "c").agg(F.sum("n").alias("n")))
         vectors, contexts, rest = skipgram_vectors(durable(pairs), ranked, others)
         if rest is not None:
@@ -957,8 +1023,8 @@ def _unknown(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, items = [], []
-            for pid, latin, row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "latin", "ideographs"))):
-                own = {w for w in set(_TOKEN.findall(latin or "")) if len(w) <= 60 and not model.knows(w)}
+            for pid, words, row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "words", "ideographs"))):
+                own = {w for w in set(words.split(" ")) if w and len(w) <= 60 and not model.knows(w)}
                 if row and model.floor[1]:
                     row = f"^{row}$"
                     three = {row[m.start() - 1 : m.start() + 2] for m in _SUSPECT.finditer(row)}
@@ -1047,11 +1113,11 @@ def _halves(learned: Model):
         model = _at_worker(learned)
         for batch in batches:
             ids, items = [], []
-            for pid, page, _, latin, row in _parsed(batch, model):
+            for pid, page, _, words, row in _parsed(batch, model):
                 if not any(page.lines[a].rstrip().endswith("-") for a, _ in breaks(page)):
                     continue
                 asked: set[str] = set()
-                repair(page, model, latin, row, asked)
+                repair(page, model, words, row, asked)
                 asked -= model.counts.keys()
                 ids += [pid] * len(asked)
                 items += asked
@@ -1067,7 +1133,7 @@ def beyond_hyphens(pages: DataFrame, model: Model, counts: DataFrame) -> DataFra
     hyphens = pages.where("not native").where(F.col("lines").rlike(r"-[^\p{L}\p{N}]*\n"))
     asked = hyphens.mapInArrow(_halves(model), "page_id string, item string")
     frequent = counts.where(F.col("item").isNotNull() & (F.col("n") >= FREQUENT)).select("item")
-    per_page = durable(asked.join(frequent, "item", "left_semi").groupBy("page_id").agg(F.collect_list("item").alias("words")))
+    per_page = durable(asked.join(frequent, "item", "left_semi").groupBy("page_id").agg(F.collect_list("item").alias("frequent")))
     return pages.join(per_page, "page_id", "left")
 
 
@@ -1087,9 +1153,9 @@ def _find(learned: Model):
         model = _at_worker(learned)
         for batch in batches:
             ids, nos, kinds = [], [], []
-            for pid, page, _, latin, row in _parsed(batch, model):
+            for pid, page, _, words, row in _parsed(batch, model):
                 marks = [(i, "header") for i in page.headers] + [(i, "page_number") for i in page.numbers]
-                marks += [(a, "hyphen") for a, _ in breaks(page)] + [(i, "misread") for i in misread(page, model, latin, row)[0]]
+                marks += [(a, "hyphen") for a, _ in breaks(page)] + [(i, "misread") for i in misread(page, model, words, row)[0]]
                 for no, kind in marks:
                     ids.append(pid)
                     nos.append(no)
@@ -1103,7 +1169,7 @@ def _repair(learned: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _at_worker(learned)
         for batch in batches:
-            out = [(pid, repair(page, None if native else model, latin, row)) for pid, page, native, latin, row in _parsed(batch, model)]
+            out = [(pid, repair(page, None if native else model, words, row)) for pid, page, native, words, row in _parsed(batch, model)]
             ids, texts = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["page_id", "text"])
 
@@ -1139,10 +1205,11 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
     for wrong, right in _LIGATED:
         x = F.replace(x, F.lit(wrong), F.lit(right))
     number = F.when(F.length("line") <= 14, F.regexp_extract("line", r"^[^\p{L}\d]*(\d{1,4})[^\p{L}\d]*$", 1)).otherwise("")
-    key = F.when(number != "", F.concat(F.lit("#"), (number.cast("int") - F.col("physical_page")).cast("string"))).otherwise(F.regexp_replace(x, r"\P{L}", ""))
+    key = F.when(number != "", F.concat(F.lit("#"), (number.cast("int") - F.col("physical_page")).cast("string"))).otherwise(F.regexp_replace(x, r"\P{L}+", ""))
     ends = F.col("line").rlike(r"[.,;:!?。，、；：！？)）」』]\s*$|^\s*[，。、；：）」』]")
+    # Generated, not selected: a condition on a selected column is moved before it, and makes the key anew at each mention.
     keyed = rows.where((F.col("line") != "") & (F.length("line") <= F.greatest(HEAD_WIDTH * F.col("widest"), F.lit(6)))).select(
-        "book_id", "page_id", key.alias("key"), F.col("outer").cast("int").alias("outer"), ends.cast("int").alias("ends")
+        "book_id", "page_id", F.explode(F.array(key)).alias("key"), F.col("outer").cast("int").alias("outer"), ends.cast("int").alias("ends")
     )
     per = keyed.where(F.col("key").startswith("#") | F.length("key").between(*HEAD_LETTERS)).groupBy("book_id", "key", "page_id").agg(F.max("outer").alias("outer"), F.max("ends").alias("ends"))
     of = per.groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("pages"), F.sum("outer").alias("outer"), F.sum("ends").alias("ends"))
@@ -1152,12 +1219,13 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
 
 
 def delivered(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """Each page once (the first loaded, of ties the least text) with its book's title and recurring lines."""
+    """Each page once (the first loaded, of ties the least text) with its book's title and recurring lines, one below the other."""
     row = F.struct("loaded_at", "text", "book_id", "physical_page", "pdf_page_label", "reading_direction")
     once = pages.where("page_id is not null").groupBy("page_id").agg(F.min(row).alias("r")).select("page_id", "r.*")
     titles = books.where("book_id is not null").groupBy("book_id").agg(F.min("title").alias("title"))
     known = durable(titles.join(recurring_lines(pages), "book_id", "full_outer"))
     size = known.agg(F.count(F.lit(1)).alias("books"), F.sum(F.coalesce(F.size("recurring"), F.lit(0))).alias("lines")).first()
+    known = known.withColumn("recurring", F.array_join("recurring", "\n"))  # keys are letters or numbers
     if size.books <= BROADCAST_BOOKS and (size.lines or 0) <= 10 * BROADCAST_BOOKS:
         known = F.broadcast(known)
     return once.join(known, "book_id", "left").select(*_COLUMNS)

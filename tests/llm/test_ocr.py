@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scholium.llm import ocr
@@ -174,3 +175,43 @@ def test_rare_word_of_frequent_grams():
         assert m.spelling("sensatiou") == ("sensation", (8,))
         assert m.spelling("donatiou") == ("donation", (7,))  # rare in any spelling: by its grams
         assert m.spelling("donation")[1] == ()
+
+
+def test_words_are_split_once(monkeypatch):
+    text = "The wound was washed and the wouud\nwas bound, 熟湯 and wa-\nshed@ again"
+    names = ("page_id", "text", "title", "physical_page", "pdf_page_label", "reading_direction", "recurring")
+    rows = [(f"p{k}", x, None, k, None, "horizontal-ltr", None) for k, x in enumerate([text, "灰湯，治之", text, "治かな wound"])]
+    kinds = [pa.int32() if x == "physical_page" else pa.string() for x in names]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    parsed = list(ocr._parse(iter([batch])))
+    want = ["the", "wound", "was", "washed", "and", "the", "wouud", "was", "bound", "and", "washed@", "again"]
+    assert [x["words"].split(" ") for b in parsed for x in b.to_pylist()] == [want, [""], want, [""]]
+
+    class Costly:
+        def findall(self, text):
+            raise AssertionError("split again")
+
+        finditer = findall
+
+    for x in ("_TOKEN", "_QUICK_TOKEN"):
+        monkeypatch.setattr(ocr, x, Costly())
+    counted = {x["item"]: x["n"] for b in ocr._count(iter(parsed)) for x in b.to_pylist() if x["item"]}
+    assert counted == {w: 2 * want.count(w) for w in want}
+    known = {"the": 0, "and": 1, "wound": 2, "again": 3}
+    beside = {(x["pair"] >> 32, x["pair"] & 0xFFFFFFFF): x["n"] for b in ocr._cooccur(known, np.array([False, False, True, True, False]), 2)(iter(parsed)) for x in b.to_pylist()}
+    assert beside == {(2, 0): 2, (3, 1): 2}  # pages are no neighbours
+    model = ocr.Model({"wound": 900, "the": 900, "was": 900}, {}, {}, {}, token="split once")
+    marks = {(x["page_id"], x["line_no"]) for b in ocr._find(model)(iter(parsed)) for x in b.to_pylist() if x["kind"] == "misread"}
+    assert marks == {(p, k) for p in ("p0", "p2") for k in (0, 2)}
+
+
+def test_key_of_a_line_is_made_once(spark):
+    pages = spark.createDataFrame([("p", "b", 1, None, "x", "horizontal-ltr", T, 1)], PAGE)
+    assert ocr.recurring_lines(pages)._jdf.queryExecution().optimizedPlan().toString().count(r"\P{L}") == 1
+
+
+def test_quick_words_are_the_words():
+    rng, letters = random.Random(4), "@!|$ab9é_ \n字²½Ⅷٱぁ⺀￰\U00010400\U00020001\U00030000\U00040000\U0001d400̈’-"
+    for _ in range(20_000):
+        s = "".join(rng.choice(letters[: rng.choice([8, 12, len(letters)])]) for _ in range(rng.randrange(14)))
+        assert ocr.words_of(s) == ocr._TOKEN.findall(s), s
